@@ -176,7 +176,7 @@ def candidates(raw: str, unit: str | None, snippet: str | None) -> list[tuple[fl
         return out
 
     text = snippet or ""
-    at = re.search(rf"(?<![\d.,/]){re.escape(raw)}", text)
+    at = re.search(rf"(?<![\d.,/]){re.escape(raw)}(?!\d|[.,/]\d)", text)
     left, right = (text[: at.start()], text[at.end() :]) if at else ("", "")
     caption = _CAPTION.search(text)
     for rest, v, multiplied in readings(after):
