@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import distinctive, frequency, mixing, packing, topn
+from quillspan.llm import distinctive, frequency, markup, mixing, packing, spans, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -66,10 +66,35 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1].drop("name")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.features(_t(spark, d, "documents"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(_t(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(_t(spark, d, "documents")).pairs()
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(_t(spark, d, "documents")).spans()
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(_t(spark, d, "documents")).report()
+
+
+def p10_lines(spark: SparkSession, d: str) -> DataFrame:
+    return spans.repeated_lines(_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_document_map, p4_found, p4_log_entropy, p6_found, p6_dictionary, p6_text_grams,
+        p1_found, p1_document_map, p2_found, p2_clean, p4_found, p4_log_entropy, p6_found, p6_dictionary, p6_text_grams,
         p8_found, p8_containers, p9_found, p9_chosen, p9_shares,
+        p10_found, p10_spans, p10_report, p10_lines,
     )
 }
