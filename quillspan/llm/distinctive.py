@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.force import in_force
+from quillspan.runtime import written
 
 
 def log_entropy(counts: DataFrame, n_records: int, record: str = "doc_id", term: str = "term", tf: str = "tf") -> DataFrame:
@@ -19,9 +20,11 @@ def log_entropy(counts: DataFrame, n_records: int, record: str = "doc_id", term:
     aggregations: ``counts`` has one row per (record, term), and the term statistics are sums
     (entropy = ln(total) - sum(tf ln tf) / total), combined before the shuffle. The join back
     is by term; a term in a third of all rows is split by the adaptive skew join.
+    ``counts`` is read twice, so it is made once and written.
     Rows with null term or tf < 1 are left out. With fewer than two records the weight is 1.
     """
     rows = counts.where(F.col(term).isNotNull() & (F.col(tf) >= 1)).select(record, term, F.col(tf).cast("long").alias("tf"))
+    rows = written(rows, "term-counts")
     terms = rows.groupBy(term).agg(
         F.count(F.lit(1)).alias("df"),
         F.sum("tf").alias("total_tf"),
