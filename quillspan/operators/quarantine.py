@@ -19,9 +19,8 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _csv(raw: Column) -> tuple[Column, Column]:
+def _csv(pieces: Column) -> tuple[Column, Column]:
     """(quoting is right, fields) without backtracking: the pieces between quotes alternate outside, inside."""
-    pieces = F.split(raw, '"', -1)
     last = F.size(pieces) - 1
 
     def outside_ok(piece: Column, i: Column) -> Column:
@@ -42,10 +41,9 @@ def _csv(raw: Column) -> tuple[Column, Column]:
     return right, F.transform(fields, lambda f: F.replace(f, F.lit("\x01\x02"), F.lit("\x01")))
 
 
-def _trec(raw: Column) -> tuple[Column, Column]:
+def _trec(raw: Column, pieces: Column) -> tuple[Column, Column]:
     """(tags are right, fields): the known tags in their order, and nothing but blanks between the elements."""
     order = F.array_join(F.regexp_extract_all(raw, F.lit(_TAGS), F.lit(0)), "")
-    pieces = F.split(raw, _TAGS, -1)
     # With the tags in order, pieces 2, 4, 6, ... are contents and the others lie between elements.
     between = F.filter(pieces, lambda _, i: (i % 2 == 1) | (i == 0) | (i == F.size(pieces) - 1))
     right = F.coalesce(F.regexp_like(order, F.lit(_TAG_ORDER)), F.lit(False)) & F.forall(
@@ -60,8 +58,12 @@ def _parsed(raw: DataFrame) -> DataFrame:
     """Adds the parts of a record and the checks on them; every check is true, false or null."""
     text = F.col("raw")
     is_csv, is_trec = F.col("fmt") == "csv", F.col("fmt") == "trec"
-    csv_ok, csv_fields = _csv(text)
-    trec_ok, trec_fields = _trec(text)
+    # The partition id, always >= 0, counts as nondeterministic: filters then stay above the split, which they
+    # would otherwise copy into their lambdas and do anew for every piece.
+    pieces = F.when(F.spark_partition_id() >= 0, F.when(is_csv, F.split(text, '"', -1)).otherwise(F.split(text, _TAGS, -1)))
+    raw = raw.withColumn("_pieces", pieces)
+    csv_ok, csv_fields = _csv(F.col("_pieces"))
+    trec_ok, trec_fields = _trec(text, F.col("_pieces"))
     df = raw.withColumn("_empty", F.coalesce(~text.rlike(r"\S"), F.lit(True)))
     df = df.withColumn("_quoting", F.when(is_csv, csv_ok).otherwise(True))
     df = df.withColumn("_tags", F.when(is_trec, trec_ok).otherwise(True))
