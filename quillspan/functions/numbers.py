@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import lexicon as L
+from quillspan.functions.plan import pinned
 from quillspan.functions.text import is_number, numeric_contexts, stripped
 
 
@@ -29,7 +30,8 @@ def matches(sections: DataFrame, *keep: str) -> DataFrame:
     Within its token a match has a prefix and a suffix; where they are empty the neighbouring tokens take
     their place. What follows an expression that lost stop characters is empty.
     """
-    ctx = sections.select(*keep, F.explode(numeric_contexts(F.col("tokens"))).alias("c")).select(*keep, "c.*")
+    found = sections.select(*keep, pinned(numeric_contexts(F.col("tokens"))).alias("c"))
+    ctx = found.select(*keep, F.explode("c").alias("c")).select(*keep, "c.*")
     nums = F.regexp_extract_all("tok", F.lit(L.NUMERIC), F.lit(0))
     gaps = F.split("tok", L.NUMERIC, -1)
     size = lambda xs: F.aggregate(F.transform(xs, F.length), F.lit(0), lambda a, x: a + x)
@@ -103,9 +105,7 @@ def classified(found: DataFrame) -> DataFrame:
         .when(c("_part"), "fraction")
         .otherwise("plain")
     )
-    # The partition id, always >= 0, counts as nondeterministic: a filter on the rule then stays above this step
-    # instead of being pushed down with all steps before it copied into it.
-    df = df.withColumn("rule", F.when(F.spark_partition_id() >= 0, rule))
+    df = df.withColumn("rule", pinned(rule))
     scale = (
         F.when((c("rule") == "dollars") & (c("_value") > 1e6), 1e6)
         .when(~c("rule").isin("plain", "fraction") | F.isnan("_value"), 1.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.config import EngineConfig
 from quillspan.functions.numbers import classified, matches
+from quillspan.functions.plan import pinned
 from quillspan.functions.porter import stem_column
 from quillspan.functions.text import accepted, clean, hyphened, tokens, word_emissions, words
 
@@ -38,11 +39,12 @@ def emissions(sections: DataFrame, config: EngineConfig) -> DataFrame:
     """``(doc_id, kind, base, cap)``: everything the rules emit. ``cap`` is null where the case is kept as it is."""
     numbers = number_matches(sections).where("rule is not null").select("doc_id", "kind", F.col("key").alias("base"), F.lit(None).cast("boolean").alias("cap"))
     numbers = numbers.where((F.col("kind") == "number") | accepted(F.col("base")))
-    joined = sections.select("doc_id", F.explode(hyphened(F.col("tokens"))).alias("base")).select(
+    joined = sections.select("doc_id", pinned(hyphened(F.col("tokens"))).alias("h")).select("doc_id", F.explode("h").alias("base")).select(
         "doc_id", F.lit("term").alias("kind"), "base", F.lit(None).cast("boolean").alias("cap")
     )
     ws = sections.select("doc_id", words(F.col("tokens")).alias("ws"))
-    own = ws.select("doc_id", F.explode(word_emissions(F.col("ws"), config.stop_words)).alias("e")).select("doc_id", "e.*")
+    emitted = ws.select("doc_id", pinned(word_emissions(F.col("ws"), config.stop_words)).alias("e"))
+    own = emitted.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.*")
     return numbers.unionByName(joined).unionByName(own)
 
 
@@ -53,13 +55,15 @@ def doc_terms(sections: DataFrame, config: EngineConfig = EngineConfig()) -> Dat
     else in capitals. Combined before the shuffle by document; stemming runs after that, on each
     document's distinct words.
     """
-    counts = emissions(sections, config).groupBy("doc_id", "kind", "base", "cap").agg(F.count(F.lit(1)).alias("tf"))
-    if config.stem:
-        word = (F.col("kind") == "term") & F.col("cap").isNotNull()
-        stemmed = stem_column(F.when(word, F.col("base")))
-        counts = counts.withColumn("base", F.coalesce(stemmed, F.col("base"))).where(~word | accepted(F.col("base")))
-    folded = counts.groupBy("doc_id", "kind", "base").agg(
-        F.sum("tf").alias("tf"), F.bool_and(F.coalesce("cap", F.lit(False))).alias("_capital")
+    capital = F.bool_and(F.coalesce("cap", F.lit(False))).alias("_capital")
+    folded = emissions(sections, config).groupBy("doc_id", "kind", "base").agg(
+        F.count(F.lit(1)).alias("tf"), capital, F.bool_or(F.col("cap").isNotNull()).alias("_word")
     )
+    if config.stem:
+        word = (F.col("kind") == "term") & F.col("_word")
+        stemmed = folded.withColumn("base", F.coalesce(stem_column(F.when(word, F.col("base"))), F.col("base")))
+        folded = stemmed.where(~word | accepted(F.col("base"))).groupBy("doc_id", "kind", "base").agg(
+            F.sum("tf").alias("tf"), F.bool_and("_capital").alias("_capital")
+        )
     upper = (F.col("kind") == "term") & F.col("_capital")
     return folded.select("doc_id", "kind", F.when(upper, F.upper("base")).otherwise(F.col("base")).alias("key"), "tf")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.plan import pinned
+
 CSV_FIELDS = ("docno", "day", "section", "length", "text")
 TREC_HEAD = ("DOCNO", "DAY", "SECTION", "LENGTH")
 
@@ -58,9 +60,8 @@ def _parsed(raw: DataFrame) -> DataFrame:
     """Adds the parts of a record and the checks on them; every check is true, false or null."""
     text = F.col("raw")
     is_csv, is_trec = F.col("fmt") == "csv", F.col("fmt") == "trec"
-    # The partition id, always >= 0, counts as nondeterministic: filters then stay above the split, which they
-    # would otherwise copy into their lambdas and do anew for every piece.
-    pieces = F.when(F.spark_partition_id() >= 0, F.when(is_csv, F.split(text, '"', -1)).otherwise(F.split(text, _TAGS, -1)))
+    # Pinned, or filters would copy the split into their lambdas and do it anew for every piece.
+    pieces = pinned(F.when(is_csv, F.split(text, '"', -1)).otherwise(F.split(text, _TAGS, -1)))
     raw = raw.withColumn("_pieces", pieces)
     csv_ok, csv_fields = _csv(F.col("_pieces"))
     trec_ok, trec_fields = _trec(text, F.col("_pieces"))

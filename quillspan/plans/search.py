@@ -22,6 +22,7 @@ from quillspan.operators import report as R
 from quillspan.operators import search as S
 from quillspan.operators import synonyms as Y
 from quillspan.sources import corpus as C
+from quillspan.runtime import spread, written
 from quillspan.sources import sinks as K
 
 PLAIN = EngineConfig()
@@ -46,7 +47,7 @@ def _trec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", "docno", "text")
+    return spread(_t(spark, d, "documents").select("doc_id", "docno", "text"))
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +58,11 @@ def _bags(spark: SparkSession, d: str, config: EngineConfig = PLAIN) -> DataFram
     return B.doc_terms(_sections(spark, d), config)
 
 
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """The bags, written once for queries that read them several times."""
+    return written(_bags(spark, d), "doc-terms")
+
+
 def _index(spark: SparkSession, d: str, config: EngineConfig = PLAIN) -> I.Index:
     return I.Index.build(_sections(spark, d), _docs(spark, d), config)
 
@@ -186,12 +192,12 @@ def tagged_doc_bags(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
-    return I.document_map(_bags(spark, d), _docs(spark, d)).select("doc_id", "max_tf", "length")
+    return I.document_map(_kept(spark, d), _docs(spark, d)).select("doc_id", "max_tf", "length")
 
 
 @_query
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    doc_map = I.document_map(_bags(spark, d), _docs(spark, d))
+    doc_map = I.document_map(_kept(spark, d), _docs(spark, d))
     return I.corpus_stats(doc_map).select("n", "total_len", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -218,79 +224,79 @@ def dictionary_entities_intended(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def dictionary_lookup(spark: SparkSession, d: str) -> DataFrame:
     asked = _t(spark, d, "postings").select(F.col("term").alias("key")).where("term is not null").distinct()
-    return I.lookup(I.dictionary(_bags(spark, d)), asked)
+    return I.lookup(I.dictionary(_kept(spark, d)), asked)
 
 
 @_query
 def dictionary_view(spark: SparkSession, d: str) -> DataFrame:
-    return R.dictionary_view(I.dictionary(_bags(spark, d)))
+    return R.dictionary_view(I.dictionary(_kept(spark, d)))
 
 
 @_query
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return I.postings(_bags(spark, d))
+    return I.postings(_kept(spark, d))
 
 
 @_query
 def inverted_file_lines(spark: SparkSession, d: str) -> DataFrame:
-    return K.inverted_lines(I.postings(_bags(spark, d))).select("term", "line")
+    return K.inverted_lines(I.postings(_kept(spark, d))).select("term", "line")
 
 
 @_query
 def inverted_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return C.parse_inverted_file(K.inverted_lines(I.postings(_bags(spark, d))), "line")
+    return C.parse_inverted_file(K.inverted_lines(I.postings(_kept(spark, d))), "line")
 
 
 @_query
 def dictionary_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return C.parse_dictionary(K.dictionary_lines(I.dictionary(_bags(spark, d))), "line")
+    return C.parse_dictionary(K.dictionary_lines(I.dictionary(_kept(spark, d))), "line")
 
 
 @_query
 def document_map(spark: SparkSession, d: str) -> DataFrame:
-    return I.document_map(_bags(spark, d), _docs(spark, d))
+    return I.document_map(_kept(spark, d), _docs(spark, d))
 
 
 @_query
 def document_map_lines(spark: SparkSession, d: str) -> DataFrame:
-    return K.document_map_lines(I.document_map(_bags(spark, d), _docs(spark, d)))
+    return K.document_map_lines(I.document_map(_kept(spark, d), _docs(spark, d)))
 
 
 @_query
 def document_map_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return C.parse_document_map(K.document_map_lines(I.document_map(_bags(spark, d), _docs(spark, d))), "line")
+    return C.parse_document_map(K.document_map_lines(I.document_map(_kept(spark, d), _docs(spark, d))), "line")
 
 
 @_query
 def dominant_entities(spark: SparkSession, d: str) -> DataFrame:
-    doc_map = I.document_map(_bags(spark, d), _docs(spark, d))
+    doc_map = I.document_map(_kept(spark, d), _docs(spark, d))
     return doc_map.select("doc_id", F.posexplode("dominant_entities").alias("at", "e")).select("doc_id", (F.col("at") + 1).alias("place"), "e.*")
 
 
 # --- Synonyms ----------------------------------------------------------------------------------
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str, bags: DataFrame) -> DataFrame:
     """``(vec_id, word, vector)``: as many of the most frequent terms as there are vectors."""
     vectors = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    terms = I.terms_dictionary(_bags(spark, d)).orderBy(F.desc("tf"), "key").limit(vectors.count())
+    terms = I.terms_dictionary(bags).orderBy(F.desc("tf"), "key").limit(vectors.count())
     ranked = terms.select("key", (F.row_number().over(Window.orderBy(F.desc("tf"), "key")) - 1).alias("vec_id"))
     return ranked.join(vectors, "vec_id").select("vec_id", F.lower("key").alias("word"), "vector")
 
 
-def _similar(spark: SparkSession, d: str) -> DataFrame:
-    vectors = _vectors(spark, d)
+def _similar(spark: SparkSession, d: str, bags: DataFrame) -> DataFrame:
+    vectors = written(_vectors(spark, d, bags), "word-vectors")
     return Y.similar(vectors.select("word", "vector"), vectors.where("vec_id % 100 = 0").select("word"))
 
 
 @_query
 def synonym_cosine_top10(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d)
+    return _similar(spark, d, _bags(spark, d))
 
 
 @_query
 def synonym_filter(spark: SparkSession, d: str) -> DataFrame:
     made = _t(spark, d, "dictionary").where("key is not null").select(F.lower("key").alias("word")).distinct().withColumn("sims", F.array("word"))
-    return Y.known(made, I.dictionary(_bags(spark, d))).select("word")
+    return Y.known(made, I.dictionary(_kept(spark, d))).select("word")
 
 
 # --- Search ------------------------------------------------------------------------------------
@@ -308,7 +314,8 @@ def query_hash_ids(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def query_expand(spark: SparkSession, d: str) -> DataFrame:
     terms = S.parse_queries(_queries(spark, d), SEMANTIC)
-    return S.expand(terms, Y.as_lists(_similar(spark, d)), I.dictionary(_bags(spark, d)))
+    bags = _kept(spark, d)
+    return S.expand(terms, Y.as_lists(_similar(spark, d, bags)), I.dictionary(bags))
 
 
 @_query
@@ -334,7 +341,8 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def semantic_rank(spark: SparkSession, d: str) -> DataFrame:
-    return S.search(_queries(spark, d), _index(spark, d, SEMANTIC), Y.as_lists(_similar(spark, d)))
+    index = _index(spark, d, SEMANTIC)
+    return S.search(_queries(spark, d), index, Y.as_lists(_similar(spark, d, index.doc_terms)))
 
 
 @_query

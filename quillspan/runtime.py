@@ -26,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few large pieces over all cores; one that has enough partitions stays as it is.
+
+    For CPU-heavy work on a small file, which would be one task. Only for plain scans: it looks at their partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
