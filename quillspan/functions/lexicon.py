@@ -33,7 +33,7 @@ STOP_CHARS = r"[.,!:\"\-|\]?;\\/><\[]+$"
 #: Deleted from the text before anything else.
 SYMBOLS = r"[{}()|@#^&*+=_']"
 NUMERIC = r"\d+([,]\d)*([.]\d+)?"
-HYPHENED = r"\w+([-]\w+)+"
+HYPHEN_RUN = r"[\w-]+"
 #: ASCII words that touch no letter, digit or mark outside ASCII, and none of - $ < before or - > after.
 WORD = r"(?<![-$<\p{L}\p{N}\p{M}_])\w+(?![->\p{L}\p{N}\p{M}_])"
 WORD_AT_END = r"(?<![-$<\p{L}\p{N}\p{M}_])\w+$"

@@ -107,9 +107,15 @@ def word_emissions(ws: Column, stop_words: Sequence[str]) -> Column:
 
 
 def hyphened(toks: Column) -> Column:
-    """Hyphen-joined words, kept as they are: array of (kind, base, cap)."""
-    joined = F.flatten(F.transform(toks, lambda t: F.regexp_extract_all(t, F.lit(L.HYPHENED), F.lit(0))))
-    return F.filter(joined, accepted)
+    """Words joined by single hyphens, as they are: array of strings.
+
+    Runs of word characters and hyphens are cut at double hyphens, since a regular expression with a repeated group
+    of varying length would recurse for every part of a long run.
+    """
+    runs = F.flatten(F.transform(toks, lambda t: F.regexp_extract_all(t, F.lit(L.HYPHEN_RUN), F.lit(0))))
+    parts = F.flatten(F.transform(runs, lambda r: F.split(r, "-{2,}", -1)))
+    joined = F.transform(parts, lambda p: F.trim(p, F.lit("-")))
+    return F.filter(joined, lambda p: p.contains("-") & accepted(p))
 
 
 def numeric_contexts(toks: Column) -> Column:

@@ -64,6 +64,11 @@ def postings(bags: DataFrame, observed: bool = True) -> DataFrame:
     return rows.groupBy(F.lower("key").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
 
 
+def with_lengths(posted: DataFrame, doc_map: DataFrame) -> DataFrame:
+    """``(term, doc_id, tf, length)``; postings that have the length stay as they are."""
+    return posted if "length" in posted.columns else posted.join(doc_map.select("doc_id", "length"), "doc_id").select("term", "doc_id", "tf", "length")
+
+
 def document_map(bags: DataFrame, docs: DataFrame, name: str = "docno", observed: bool = True) -> DataFrame:
     """``(doc_id, name, max_tf, length, dominant_entities)``; documents without any text count with length 0.
 
@@ -130,11 +135,15 @@ class Index:
         return cls(bags, dictionary(bags, o), postings(bags, o), document_map(bags, docs, name, o), config)
 
     def save(self) -> None:
-        """Writes the tables under ``config.place``; postings sorted by term within range partitions, so that readers skip row groups."""
+        """Writes the tables under ``config.place``.
+
+        Postings carry their document's length, so that searches need no join for it, and are sorted by term within range
+        partitions, so that readers skip row groups.
+        """
         place = self.config.place
         self.doc_terms.write.mode("overwrite").parquet(f"{place}/doc_terms")
         self.dictionary.write.mode("overwrite").parquet(f"{place}/dictionary")
-        by_term = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        by_term = with_lengths(self.postings, self.document_map).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         by_term.write.mode("overwrite").parquet(f"{place}/postings")
         self.document_map.write.mode("overwrite").parquet(f"{place}/document_map")
 

@@ -88,6 +88,8 @@ def test_save_load_reset(spark, tmp_path):
     index.save()
     back = I.Index.load(spark, config)
     assert rows(back.postings, "term", "doc_id", "tf") == rows(index.postings, "term", "doc_id", "tf")
+    q = spark.createDataFrame([(7, "fish"), (8, "rock sand")], "query_id long, text string")
+    assert S.search(q, back).exceptAll(S.search(q, index)).count() == 0 and S.search(q, back).count() == 3
     I.Index.reset(spark, config)
     with pytest.raises(Exception):
         I.Index.load(spark, config)

@@ -36,6 +36,13 @@ def test_words_and_entities(spark):
     assert bags(spark, [c[0] for c in cases]) == [(t, e) for _, t, e in cases]
 
 
+def test_very_long_tokens(spark):
+    n = 60_000
+    got = bags(spark, ["a-" * n + "a", "1," * n, "Ab" * n, "a-b--c-d- -e-f-", "A " * n])
+    assert got[0][0] == {"a-" * n + "a": 1}
+    assert got[2][0] == {("AB" * n): 1} and got[3][0] == {"a-b": 1, "c-d": 1, "e-f": 1}
+
+
 def test_stemmed(spark):
     got = bags(spark, ["Running runs relational"], EngineConfig(stem=True, stop_words=()))
     assert got == [({"run": 2, "relat": 1}, {})]
