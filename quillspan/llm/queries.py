@@ -86,6 +86,10 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(_t(spark, d, "documents")).report()
 
 
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    return spans.linked_classes(_t(spark, d, "documents"))
+
+
 def p10_lines(spark: SparkSession, d: str) -> DataFrame:
     return spans.repeated_lines(_t(spark, d, "documents"))
 
@@ -95,6 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         p1_found, p1_document_map, p2_found, p2_clean, p4_found, p4_log_entropy, p6_found, p6_dictionary, p6_text_grams,
         p8_found, p8_containers, p9_found, p9_chosen, p9_shares,
-        p10_found, p10_spans, p10_report, p10_lines,
+        p10_found, p10_links, p10_spans, p10_report, p10_lines,
     )
 }

@@ -282,6 +282,26 @@ class SharedSpans:
         return rows.withColumn("shared_part", F.coalesce(F.col("shared_chars") / F.nullif("n_chars", F.lit(0)), F.lit(0.0)))
 
 
+def linked_classes(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(doc_id, class_id, copies, n_links)``, one row per document.
+
+    Documents of exactly the same text (128-bit digest) are one class, named by its smallest doc_id; ``copies`` is
+    its size. Only representatives are compared, so copies are never paired with each other; ``n_links`` is the number of
+    other classes that share a span of at least ``least`` characters. Null texts and null doc_ids are classes of their own without links.
+    """
+    digests = documents.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.md5("text")).alias("_d"))
+    known = digests.where("_d is not null")
+    classes = known.groupBy("_d").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("copies"))
+    member = known.distinct().join(classes, "_d").select("doc_id", "class_id", "copies")
+    member = member.unionByName(digests.where("_d is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies")))
+    member = written(member, "classes")
+    firsts = classes.select(F.col("class_id").alias("doc_id"))
+    pairs = SharedSpans(documents.select("doc_id", "text").join(firsts, "doc_id", "left_semi"), least).pairs()
+    ends = pairs.select(F.col("doc_id_a").alias("class_id")).union(pairs.select("doc_id_b"))
+    links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return member.join(links, "class_id", "left").select("doc_id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """Unites overlapping and touching ``(doc_id, start, length, repeated)`` per doc_id and ``repeated``."""
     own = Window.partitionBy("doc_id", "repeated").orderBy("start", "length")

@@ -60,6 +60,22 @@ def test_shared_spans(spark, compared):
     assert {d: r.repeated_chars for d, r in report.items() if r.repeated_chars} == {d: len(v) for d, v in again.items() if v}
 
 
+def test_classes(spark):
+    texts = corpus()
+    df = spark.createDataFrame(texts + [(300 + i, texts[3][1]) for i in range(40)], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.copies, r.n_links) for r in spans.linked_classes(df, SPAN).collect()}
+    first, size = {}, defaultdict(int)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    for d, t in sorted(rows):
+        first.setdefault(t, d)
+        size[t] += 1
+    links = defaultdict(set)
+    for a, b in brute([(d, t) for t, d in first.items() if t is not None], SPAN)[0]:
+        links[a].add(b)
+        links[b].add(a)
+    assert got == {d: (first[t], size[t], len(links[first[t]])) for d, t in rows}
+
+
 def test_shared_spans_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     found = spans.SharedSpans(df)
