@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +10,11 @@ from pyspark.sql.internal import InternalFunction
 
 from quillspan.config import EngineConfig
 from quillspan.operators.bags import doc_terms
-from quillspan.runtime import written
+from quillspan.runtime import timed, written
 
 DOMINANT = 5
+STOP_WORDS = "stop_words"
+MAX_STOP_WORDS = 100_000
 
 
 def terms_dictionary(bags: DataFrame) -> DataFrame:
@@ -126,7 +128,8 @@ class Index:
     @classmethod
     def build(cls, sections: DataFrame, docs: DataFrame, config: EngineConfig = EngineConfig(), name: str = "docno") -> Index:
         """Index of ``sections``; the bags, from which all tables come, are made once and written."""
-        bags = written(doc_terms(sections, config), "doc-terms")
+        with timed("bags"):
+            bags = written(doc_terms(sections, config), "doc-terms")
         return cls.of_bags(bags, docs, config, name)
 
     @classmethod
@@ -146,14 +149,18 @@ class Index:
         by_term = with_lengths(self.postings, self.document_map).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         by_term.write.mode("overwrite").parquet(f"{place}/postings")
         self.document_map.write.mode("overwrite").parquet(f"{place}/document_map")
+        words = self.doc_terms.sparkSession.createDataFrame([(w,) for w in self.config.stop_words], "word string")
+        words.write.mode("overwrite").parquet(f"{place}/{STOP_WORDS}")
 
     @classmethod
     def load(cls, spark: SparkSession, config: EngineConfig) -> Index:
-        return cls(*(spark.read.parquet(f"{config.place}/{t}") for t in cls.TABLES), config)
+        """The saved index, with the stop words it was built with, so that queries are parsed alike."""
+        words = tuple(r[0] for r in spark.read.parquet(f"{config.place}/{STOP_WORDS}").limit(MAX_STOP_WORDS).collect())
+        return cls(*(spark.read.parquet(f"{config.place}/{t}") for t in cls.TABLES), replace(config, stop_words=words))
 
     @staticmethod
     def reset(spark: SparkSession, config: EngineConfig) -> None:
-        """Deletes the tables of the index; other files of the folder stay."""
+        """Deletes the tables of the index; stop words and other files of the folder stay."""
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for t in Index.TABLES:
             p = jvm.org.apache.hadoop.fs.Path(f"{config.place}/{t}")

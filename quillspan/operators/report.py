@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import java_hash
 from quillspan.operators.index import Index
 
 
@@ -66,12 +67,15 @@ def results_of(ranked: DataFrame, query_id: int) -> DataFrame:
     return ranked.where(F.col("query_id") == query_id).orderBy("rank")
 
 
+def results_of_text(ranked: DataFrame, text: str) -> DataFrame:
+    """Results of a free-text query of :func:`quillspan.operators.search.hashed_queries`, whose id is the text's hash."""
+    return ranked.where(F.col("query_id") == java_hash(F.lit(text)).cast("long")).orderBy("rank")
+
+
 def precision_at(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, precision, average_precision)`` against ``(query_id, doc_id)`` of relevant documents."""
     truth = relevant.select("query_id", "doc_id").distinct()
     of = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("_all"))
-    from pyspark.sql import Window
-
     hits = ranked.join(truth, ["query_id", "doc_id"]).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     per = hits.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("_k"), F.sum(F.col("_n") / F.col("rank")).alias("_ap"))
     return of.join(per, "query_id", "left").select(

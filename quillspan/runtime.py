@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger("quillspan")
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+@contextmanager
+def timed(what: str) -> Iterator[None]:
+    """Logs the seconds that a step took, or that it failed."""
+    began = time.perf_counter()
+    try:
+        yield
+    except BaseException:
+        log.error("%s failed after %.1f s", what, time.perf_counter() - began)
+        raise
+    log.info("%s: %.1f s", what, time.perf_counter() - began)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan of few large pieces over all cores; one that has enough partitions stays as it is.
 

@@ -61,6 +61,13 @@ def test_scores(spark, config, score):
     assert got[0].score == pytest.approx(score, abs=1e-6)
 
 
+def test_free_text(spark):
+    q = S.hashed_queries(spark.createDataFrame([("fish",), ("fish",), ("the",)], "text string"))
+    ranked = S.search(q, _index(spark, EngineConfig()))
+    assert [r.doc_id for r in R.results_of_text(ranked, "fish").collect()] == [1]
+    assert R.results_of_text(ranked, "the").count() == 0 and q.count() == 2
+
+
 def test_capital_keys_only_bring_candidates(spark):
     q = spark.createDataFrame([(7, "Fish")], "query_id long, text string")
     assert [(r.doc_id, r.score) for r in S.search(q, _index(spark, EngineConfig())).collect()] == [(1, 0.0)]
@@ -83,10 +90,11 @@ def test_expansion(spark):
 
 
 def test_save_load_reset(spark, tmp_path):
-    config = EngineConfig(index_path=str(tmp_path / "ix"))
+    config = EngineConfig(index_path=str(tmp_path / "ix"), stop_words=("zzz",))
     index = _index(spark, config)
     index.save()
-    back = I.Index.load(spark, config)
+    back = I.Index.load(spark, EngineConfig(index_path=config.index_path))
+    assert back.config.stop_words == ("zzz",)
     assert rows(back.postings, "term", "doc_id", "tf") == rows(index.postings, "term", "doc_id", "tf")
     q = spark.createDataFrame([(7, "fish"), (8, "rock sand")], "query_id long, text string")
     assert S.search(q, back).exceptAll(S.search(q, index)).count() == 0 and S.search(q, back).count() == 3
