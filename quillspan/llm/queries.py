@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import distinctive, frequency, markup, mixing, packing, spans, topn
+from quillspan.llm import distinctive, frequency, markup, mixing, packing, spans, topn, wrappers
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.cleaned(_t(spark, d, "documents"))
 
 
+def p2_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    return wrappers.coverage(_t(spark, d, "documents"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(_t(spark, d, "documents")).pairs()
 
@@ -97,7 +101,7 @@ def p10_lines(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_document_map, p2_found, p2_clean, p4_found, p4_log_entropy, p6_found, p6_dictionary, p6_text_grams,
+        p1_found, p1_document_map, p2_found, p2_clean, p2_wrappers, p4_found, p4_log_entropy, p6_found, p6_dictionary, p6_text_grams,
         p8_found, p8_containers, p9_found, p9_chosen, p9_shares,
         p10_found, p10_links, p10_spans, p10_report, p10_lines,
     )

@@ -282,7 +282,7 @@ class SharedSpans:
         return rows.withColumn("shared_part", F.coalesce(F.col("shared_chars") / F.nullif("n_chars", F.lit(0)), F.lit(0.0)))
 
 
-def linked_classes(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def linked_classes(documents: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
     """``(doc_id, class_id, copies, n_links)``, one row per document.
 
     Documents of exactly the same text (128-bit digest) are one class, named by its smallest doc_id; ``copies`` is
@@ -296,7 +296,7 @@ def linked_classes(documents: DataFrame, least: int = LEAST) -> DataFrame:
     member = member.unionByName(digests.where("_d is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies")))
     member = written(member, "classes")
     firsts = classes.select(F.col("class_id").alias("doc_id"))
-    pairs = SharedSpans(documents.select("doc_id", "text").join(firsts, "doc_id", "left_semi"), least).pairs()
+    pairs = SharedSpans(documents.select("doc_id", "text").join(firsts, "doc_id", "left_semi"), least, k).pairs()
     ends = pairs.select(F.col("doc_id_a").alias("class_id")).union(pairs.select("doc_id_b"))
     links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     return member.join(links, "class_id", "left").select("doc_id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

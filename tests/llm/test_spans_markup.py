@@ -63,7 +63,7 @@ def test_shared_spans(spark, compared):
 def test_classes(spark):
     texts = corpus()
     df = spark.createDataFrame(texts + [(300 + i, texts[3][1]) for i in range(40)], "doc_id long, text string")
-    got = {r.doc_id: (r.class_id, r.copies, r.n_links) for r in spans.linked_classes(df, SPAN).collect()}
+    got = {r.doc_id: (r.class_id, r.copies, r.n_links) for r in spans.linked_classes(df, SPAN, 16).collect()}
     first, size = {}, defaultdict(int)
     rows = [(r.doc_id, r.text) for r in df.collect()]
     for d, t in sorted(rows):
