@@ -157,6 +157,18 @@ def _leading_unit(s: str) -> tuple[str, tuple] | None:
     return None
 
 
+def _place(raw: str, text: str) -> int:
+    """Where ``raw`` stands in ``text`` by itself, not as part of a longer number; -1 if nowhere."""
+    at = text.find(raw) if raw else -1
+    while at >= 0:
+        before, after = text[at - 1 : at] if at else "", text[at + len(raw) : at + len(raw) + 2]
+        longer = before.isdigit() or before in (".", ",", "/") or after[:1].isdigit() or (after[:1] in (".", ",", "/") and after[1:].isdigit())
+        if not longer:
+            return at
+        at = text.find(raw, at + 1)
+    return -1
+
+
 def candidates(raw: str, unit: str | None, snippet: str | None) -> list[tuple[float, str, int, Fraction]]:
     """Scored readings of a quantity: (score, unit, power of ten of the prefix, value with multipliers)."""
     number = read_number(raw)
@@ -176,8 +188,8 @@ def candidates(raw: str, unit: str | None, snippet: str | None) -> list[tuple[fl
         return out
 
     text = snippet or ""
-    at = re.search(rf"(?<![\d.,/]){re.escape(raw)}(?!\d|[.,/]\d)", text)
-    left, right = (text[: at.start()], text[at.end() :]) if at else ("", "")
+    at = _place(raw, text)
+    left, right = (text[:at], text[at + len(raw) :]) if at >= 0 else ("", "")
     caption = _CAPTION.search(text)
     for rest, v, multiplied in readings(after):
         bonus = 1.0 if multiplied else 0.0
