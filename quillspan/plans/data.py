@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.operators import quarantine, skew, units
+from quillspan.runtime import ship
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

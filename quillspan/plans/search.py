@@ -22,7 +22,7 @@ from quillspan.operators import report as R
 from quillspan.operators import search as S
 from quillspan.operators import synonyms as Y
 from quillspan.sources import corpus as C
-from quillspan.runtime import spread, written
+from quillspan.runtime import ship, spread, written
 from quillspan.sources import sinks as K
 
 PLAIN = EngineConfig()
@@ -39,6 +39,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
@@ -71,6 +72,12 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
+def _flat(doc_map: DataFrame) -> DataFrame:
+    """The entity list as text, ``entity:tf`` in order."""
+    pairs = F.transform("dominant_entities", lambda x: F.concat_ws(":", x["entity"], x["tf"].cast("string")))
+    return doc_map.withColumn("dominant_entities", F.array_join(pairs, "; "))
+
+
 # --- Sources -----------------------------------------------------------------------------------
 
 @_query
@@ -254,7 +261,7 @@ def dictionary_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def document_map(spark: SparkSession, d: str) -> DataFrame:
-    return I.document_map(_kept(spark, d), _docs(spark, d))
+    return _flat(I.document_map(_kept(spark, d), _docs(spark, d)))
 
 
 @_query
@@ -264,7 +271,7 @@ def document_map_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def document_map_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return C.parse_document_map(K.document_map_lines(I.document_map(_kept(spark, d), _docs(spark, d))), "line")
+    return _flat(C.parse_document_map(K.document_map_lines(I.document_map(_kept(spark, d), _docs(spark, d))), "line"))
 
 
 @_query
@@ -360,7 +367,8 @@ def run_file(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def result_names_entities(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return R.named_results(S.search(_queries(spark, d), index), index.document_map)
+    named = R.named_results(S.search(_queries(spark, d), index), index.document_map)
+    return named.withColumn("entities", F.array_join("entities", "; "))
 
 
 @_query

@@ -81,7 +81,7 @@ def chain(p: str, source: str) -> str:
   {p}num2 AS (SELECT *, substring(t, 1, s::BIGINT) AS pre, substring(t, (s + length(num) + 1)::BIGINT) AS suf FROM {p}num1),
   {p}num3 AS (SELECT *, CASE WHEN pre <> '' THEN pre ELSE t0 END AS prev, CASE WHEN suf <> '' THEN suf ELSE t1 END AS r1,
       CASE WHEN suf <> '' THEN t1 ELSE t2 END AS r2, CASE WHEN suf <> '' THEN t2 ELSE t3 END AS r3 FROM {p}num2),
-  {p}num AS (SELECT doc_id, sec, i - 1 AS "at", j - 1 AS nth, num, prev, {_cut('r1')} AS nxt,
+  {p}num AS (SELECT doc_id, sec, (i - 1)::INTEGER AS "at", (j - 1)::INTEGER AS nth, num, prev, {_cut('r1')} AS nxt,
       CASE WHEN {_cut('r1')} <> r1 THEN '' ELSE {_cut('r2')} END AS next2,
       CASE WHEN {_cut('r1')} <> r1 OR {_cut('r2')} <> r2 THEN '' ELSE {_cut('r3')} END AS next3 FROM {p}num3),
   {p}kind AS (SELECT *, instr(nxt, '/') = 1 AND {_num('nxt[2:]')} AS numerator,
@@ -135,7 +135,7 @@ def _index(observed: bool = True) -> str:
   ent AS (SELECT b.doc_id, b.key, b.tf FROM bags b JOIN dent USING (key) WHERE b.kind = 'entity' {late}),
   post AS (SELECT lower(key) AS term, doc_id, sum(tf)::BIGINT AS tf FROM (
     SELECT key, doc_id, tf FROM bags WHERE kind <> 'entity' UNION ALL SELECT key, doc_id, tf FROM ent) GROUP BY lower(key), doc_id),
-  top5 AS (SELECT doc_id, key AS entity, tf, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, key DESC) AS place FROM ent QUALIFY place <= 5),
+  top5 AS (SELECT doc_id, key AS entity, tf, (row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, key DESC))::INTEGER AS place FROM ent QUALIFY place <= 5),
   dmap AS (SELECT d.doc_id, trim(d.docno) AS name, greatest(1, coalesce(m, 1))::BIGINT AS max_tf, coalesce(l, 0)::BIGINT AS length, coalesce(e, []) AS dominant_entities
     FROM documents d LEFT JOIN (SELECT doc_id, max(tf) AS m, sum(tf) AS l FROM bags GROUP BY doc_id) USING (doc_id)
     LEFT JOIN (SELECT doc_id, list({{'entity': entity, 'tf': tf}} ORDER BY place) AS e FROM top5 GROUP BY doc_id) USING (doc_id))"""
@@ -158,7 +158,7 @@ def _ranked(weight: str, terms: str, idf_plus: int = 1) -> str:
   st AS (SELECT count(*) AS n, avg(length) AS avgdl FROM dmap),
   scored AS (SELECT query_id, p.doc_id, round(sum(weight * log10((n + {idf_plus}) / df) * (2 * p.tf / (p.tf + 1 - 0.3 + 0.3 * length / avgdl))), 6) + 0.0 AS score
     FROM weighted JOIN norm USING (lkey) JOIN post p ON p.term = lkey JOIN dmap USING (doc_id), st GROUP BY query_id, p.doc_id),
-  ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored QUALIFY rank <= 50)"""
+  ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored QUALIFY rank <= 50)"""
 
 
 _TERMS = "SELECT doc_id AS query_id, kind, key, tf AS qtf FROM qbags"
@@ -169,7 +169,7 @@ _BM25 = f"{_INDEX}, {_ranked(_FIRST, _TERMS)}"
 _SIMILAR = """
   wordvec AS (SELECT vec_id, lower(key) AS word, embedding::DOUBLE[] AS v FROM embeddings JOIN (
     SELECT key, row_number() OVER (ORDER BY tf DESC, key) - 1 AS vec_id FROM dterm) USING (vec_id)),
-  sim AS (SELECT a.word, row_number() OVER (PARTITION BY a.word ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.word) AS rank, b.word AS sim,
+  sim AS (SELECT a.word, (row_number() OVER (PARTITION BY a.word ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.word))::INTEGER AS rank, b.word AS sim,
       round(list_cosine_similarity(a.v, b.v), 6) AS cosine
     FROM wordvec a JOIN wordvec b ON a.word <> b.word WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10)"""
 _EXPANDED = """
@@ -181,11 +181,13 @@ _KIND_WEIGHT = "sum(CASE WHEN key = lower(key) THEN qtf ELSE 0 END * CASE kind W
 
 _HASH = """(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::BIGINT"""
 
+_FLAT = "coalesce(array_to_string(list_transform(dominant_entities, lambda x: x.entity || ':' || x.tf), '; '), '')"
+
 ORACLE: dict[str, str] = {
     "doc_split": "SELECT record_id AS doc_id, unnest(regexp_extract_all(raw, '(?s)<DOC>.+?</DOC>')) AS doc FROM raw_records WHERE fmt = 'trec'",
     "docno_extract": "SELECT record_id AS doc_id, trim(nullif(regexp_extract(raw, '(?s)<DOCNO>(.+?)</DOCNO>', 1), '')) AS docno FROM raw_records WHERE fmt = 'trec' AND raw IS NOT NULL",
     "text_sections": """
-      SELECT doc_id, CASE WHEN len(b) > 0 THEN unnest(generate_series(0, greatest(len(b) - 1, 0))) END AS sec, unnest(CASE WHEN len(b) > 0 THEN b ELSE [NULL] END) AS body FROM (
+      SELECT doc_id, CASE WHEN len(b) > 0 THEN unnest(generate_series(0, greatest(len(b) - 1, 0)))::INTEGER END AS sec, unnest(CASE WHEN len(b) > 0 THEN b ELSE [NULL] END) AS body FROM (
         SELECT record_id AS doc_id, regexp_extract_all(raw, '(?s)<TEXT>.+?</TEXT>') AS b FROM raw_records WHERE fmt = 'trec' AND raw IS NOT NULL)""",
     "clean_text": r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[{}()|@#^&*+=_'']', '', 'g') AS clean FROM documents WHERE text IS NOT NULL",
     "word_tokens": f"{_TEXT} SELECT doc_id, w AS word, count(*) AS n FROM w1 GROUP BY doc_id, w",
@@ -218,10 +220,10 @@ ORACLE: dict[str, str] = {
     "inverted_file_lines": f"{_INDEX} SELECT term, term || '|' || string_agg(doc_id || ',' || tf, '|' ORDER BY doc_id) AS line FROM post GROUP BY term",
     "inverted_file_round_trip": f"{_INDEX} SELECT * FROM post",
     "dictionary_round_trip": f"{_INDEX} SELECT key, tf, df FROM dict",
-    "document_map": f"{_INDEX} SELECT * FROM dmap",
+    "document_map": f"{_INDEX} SELECT * REPLACE ({_FLAT} AS dominant_entities) FROM dmap",
     "document_map_lines": f"""{_INDEX} SELECT doc_id, doc_id || '|' || name || ',' || max_tf || ',' || length ||
       coalesce(array_to_string(list_transform(dominant_entities, lambda x: ',' || x.entity || ',' || x.tf), ''), '') AS line FROM dmap""",
-    "document_map_round_trip": f"{_INDEX} SELECT * FROM dmap",
+    "document_map_round_trip": f"{_INDEX} SELECT * REPLACE ({_FLAT} AS dominant_entities) FROM dmap",
     "dominant_entities": f"{_INDEX} SELECT doc_id, place, entity, tf FROM top5",
     "synonym_cosine_top10": f"{_INDEX}, {_SIMILAR} SELECT * FROM sim",
     "synonym_filter": f"{_INDEX} SELECT DISTINCT lower(d.key) AS word FROM dictionary d WHERE lower(d.key) IN (SELECT lower(key) FROM dict)",
@@ -234,16 +236,16 @@ ORACLE: dict[str, str] = {
     "bm25_intended": f"{_INTENDED}, {_ranked(_FIRST_ANY, _TERMS).replace(chain('q', _ASKED), chain('q', _DOCS + ' AND doc_id % 100 = 0'))} SELECT * FROM ranked",
     "semantic_rank": f"{_INDEX}, {_SIMILAR}, {_ranked(_KIND_WEIGHT, f'{_TERMS} UNION ALL {_EXPANDED}', 0)} SELECT * FROM ranked",
     "topk_padded": f"""{_BM25}, asked AS (SELECT doc_id AS query_id FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT -1),
-      places AS (SELECT query_id, unnest(generate_series(1, 50)) AS rank FROM asked)
+      places AS (SELECT query_id, unnest(generate_series(1, 50))::INTEGER AS rank FROM asked)
       SELECT query_id, rank, coalesce(doc_id, 0) AS doc_id FROM places LEFT JOIN ranked USING (query_id, rank)""",
     "run_file": f"{_BM25} SELECT query_id, rank, query_id || ' 0 ' || name || ' 10 9 mt' AS line FROM ranked JOIN dmap USING (doc_id)",
-    "result_names_entities": f"""{_BM25} SELECT query_id, rank, doc_id, name, coalesce(e, []) AS entities FROM ranked JOIN dmap USING (doc_id)
+    "result_names_entities": f"""{_BM25} SELECT query_id, rank, doc_id, name, coalesce(array_to_string(e, '; '), '') AS entities FROM ranked JOIN dmap USING (doc_id)
       LEFT JOIN (SELECT doc_id, list(upper(entity) || ' appeared: ' || tf || ' times' ORDER BY tf, entity) AS e FROM top5 GROUP BY doc_id) USING (doc_id)""",
     "index_stats": f"""{_INDEX} SELECT (SELECT count(*) FROM dmap) AS documents, (SELECT count(*) FROM dict WHERE kind <> 'entity') AS terms,
       (SELECT count(*) FROM dent) AS entities, (SELECT count(*) FROM dict) AS dictionary_size, (SELECT count(*) FROM post) AS postings,
       (SELECT sum(length)::BIGINT FROM dmap) AS total_len, (SELECT round(avg(length), 6) FROM dmap) AS avgdl""",
     "topics_parse": """
-      SELECT 351 AS query_id, 'Falkland petroleum exploration' || 'What information is available on petroleum exploration' || chr(10) || 'in the South Atlantic?' || chr(10)
+      SELECT 351::BIGINT AS query_id, 'Falkland petroleum exploration' || 'What information is available on petroleum exploration' || chr(10) || 'in the South Atlantic?' || chr(10)
         || 'Any document discussing petroleum exploration is relevant.' || chr(10) AS text
       UNION ALL SELECT 352, 'Tunnel impact' || 'Which effects had the tunnel?' || chr(10) || 'Economic effects count.' || chr(10)""",
 }

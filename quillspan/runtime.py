@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import logging
+import os
+import shutil
 import tempfile
 import time
 import uuid
@@ -13,6 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 log = logging.getLogger("quillspan")
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -31,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: once per application, unless PYTHONPATH already leads to it."""
+    if _ROOT in map(os.path.abspath, os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        name = os.path.join(tempfile.mkdtemp(prefix="quillspan-package-"), "quillspan")
+        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", _ROOT, "quillspan"))
+
+
 @contextmanager
 def timed(what: str) -> Iterator[None]:
     """Logs the seconds that a step took, or that it failed."""
