@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspan.llm import distinctive, frequency, markup, mixing, packing, spans, topn, wrappers
+from quillspan.runtime import ship
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
@@ -18,7 +21,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_document_map(spark: SparkSession, d: str) -> DataFrame:
-    return topn.refreshed_map(_t(spark, d, "documents_map"), _t(spark, d, "doc_terms"))
+    """The entity list as text, ``entity:tf`` in order."""
+    fresh = topn.refreshed_map(_t(spark, d, "documents_map"), _t(spark, d, "doc_terms"))
+    pairs = F.transform("dominant_entities", lambda x: F.concat_ws(":", x["entity"], x["tf"].cast("string")))
+    return fresh.withColumn("dominant_entities", F.array_join(pairs, "; "))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -30,9 +30,9 @@ _MARKED = f"""
 ORACLE: dict[str, str] = {
     "p1_found": f"SELECT doc_id, entity FROM {_TOP} WHERE r <= 5",
     "p1_document_map": f"""
-      SELECT doc_id, name, max_tf, length, coalesce(l, []) AS dominant_entities
+      SELECT doc_id, name, max_tf, length, coalesce(l, '') AS dominant_entities
       FROM documents_map LEFT JOIN (
-        SELECT doc_id, list({{'entity': entity, 'tf': tf}} ORDER BY r) AS l FROM {_TOP} WHERE r <= 5 GROUP BY doc_id) USING (doc_id)""",
+        SELECT doc_id, string_agg(entity || ':' || tf, '; ' ORDER BY r) AS l FROM {_TOP} WHERE r <= 5 GROUP BY doc_id) USING (doc_id)""",
     "p4_found": f"""
       WITH t AS (SELECT * FROM {_TERMS}), s AS (SELECT term, count(*) AS df FROM t GROUP BY term)
       SELECT doc_id, term FROM t JOIN s USING (term) JOIN documents_map USING (doc_id)
