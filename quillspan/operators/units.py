@@ -137,9 +137,10 @@ def read_number(raw: str) -> tuple[Fraction, str, str] | None:
 
 
 _MULT = re.compile(r"\s*(thousand|million|billion|bn|mn|[kKm])(?![^\W\d_])\s*")
-_CAPTION = re.compile(r"\b(?:in|figures in|amounts in) (thousands|millions|billions) of ([^:;()]{1,20})", re.I)
+_CAPTION = re.compile(r"\b(?:in|figures in|amounts in) (thousands|millions|billions) of ([^:;(),]+)", re.I)
+_OWN_NUMBER = re.compile(r"\d[\d.,]*\s*,\s*$")
 _MEASURED = re.compile(r"(?:measured|expressed|given) in ([^:;]{1,20}):\s*[$]?$", re.I)
-_PAREN = re.compile(r"^\s*(?:\(\s*(?:all )?in ([^)]{1,20})\)|,\s*all in ([^,;]{1,20})[,;.])", re.I)
+_PAREN = re.compile(r"^\s*(?:\(\s*(?:all )?in ([^)]{1,20})\)|,\s*(?:all )?in ([^,;]{1,20})[,;.])", re.I)
 
 
 def _leading_unit(s: str) -> tuple[str, tuple] | None:
@@ -148,7 +149,7 @@ def _leading_unit(s: str) -> tuple[str, tuple] | None:
     ends = [m.end() for m in re.finditer(r"[^\W\d_]+\.?|[%‰$²³]|\^[23]", s)]
     for end in reversed(ends):
         cut = s[:end]
-        if cut.lower() == "in":  # the preposition
+        if cut.lower().lstrip(" .,;:()") == "in":  # the preposition
             continue
         if end < len(s) and s[end - 1].isalpha() and (s[end].isalnum() or s[end] == "-"):
             continue
@@ -169,6 +170,23 @@ def _place(raw: str, text: str) -> int:
     return -1
 
 
+def _caption(text: str, right: str) -> tuple[int, tuple] | None:
+    """(multiplier, segmentations) of the caption that covers the number before ``right``.
+
+    One that follows a number after a comma (``884, in thousands of dollars``) covers this number only and goes before the others,
+    which cover the sentence.
+    """
+    end = len(text) - len(right)  # of the number
+    covering: list[tuple[bool, int, tuple]] = []
+    for m in _CAPTION.finditer(text):
+        own = bool(right) and m.start() >= end and not text[end : m.start()].strip(" ,")
+        if not own and _OWN_NUMBER.search(text[: m.start()]):
+            continue
+        if lead := _leading_unit(m[2]):
+            covering.append((not own, MULTIPLIERS[m[1].lower()], lead[1]))
+    return min(covering, key=lambda c: c[0])[1:] if covering else None
+
+
 def candidates(raw: str, unit: str | None, snippet: str | None) -> list[tuple[float, str, int, Fraction]]:
     """Scored readings of a quantity: (score, unit, power of ten of the prefix, value with multipliers)."""
     number = read_number(raw)
@@ -190,7 +208,6 @@ def candidates(raw: str, unit: str | None, snippet: str | None) -> list[tuple[fl
     text = snippet or ""
     at = _place(raw, text)
     left, right = (text[:at], text[at + len(raw) :]) if at >= 0 else ("", "")
-    caption = _CAPTION.search(text)
     for rest, v, multiplied in readings(after):
         bonus = 1.0 if multiplied else 0.0
         tail = rest.strip()
@@ -214,8 +231,8 @@ def candidates(raw: str, unit: str | None, snippet: str | None) -> list[tuple[fl
                     add("before", segment(m[1]), w)
                 if more:
                     bonus = max(bonus, 0.5)
-            if caption and len(found) == n and (got := segment(caption[2])):
-                add("caption", got, v * MULTIPLIERS[caption[1].lower()])
+            if len(found) == n and (caption := _caption(text, right)):
+                add("caption", caption[1], v * caption[0])
         found[n:] = [(s + bonus, u, p, w) for s, u, p, w in found[n:]]
     return found
 

@@ -86,6 +86,23 @@ def test_units(spark):
     assert U.to_common_units(numbers, units.limit(0)).where("amount is not null").count() == 0
 
 
+CAPTIONS = [
+    ("884", "Cable 884, in thousands of U.S. dollars, sesjaxed taxing.", ("cent", 88400000)),
+    ("560", "Led 560, in thousands of Dollars, daklort.", ("cent", 56000000)), ("45", "Bimpus 45, in millions of USD, plap.", ("cent", 4500000000)),
+    ("426", "In millions of U.S. dollars and otherwise unaudited: a 426 b", ("cent", 42600000000)), ("7", "7, in km, a", ("mm", 7000000)),
+    ("12", "a 12, in London, b", None), ("12", "a 12 (in London) b", None), ("5", "a 5 in. b", ("mm", 127)),
+    ("22", "22 rooms for 884, in thousands of dollars, b", None), ("426", "In millions of dollars: up 3 per cent to 426 b", ("cent", 42600000000)),
+    ("3", "In millions of dollars: up 3 per cent to 426 b", ("bp", 300)),
+    ("9", "In millions of dollars: 9, in thousands of USD, b", ("cent", 900000)),
+]
+
+
+def test_captions():
+    one = U._convert({n: (d, c, U.Fraction(repr(f))) for n, d, c, f in UNITS})
+    got = [one(raw, None, snippet) for raw, snippet, _ in CAPTIONS]
+    assert [g and (g[2], g[4]) for g in got] == [want for *_, want in CAPTIONS]
+
+
 def test_segments():
     assert U.segment("kilometres")[0][:3] == ("metre", 3, 1)
     assert U.segment("kg")[0][:3] == ("gram", 3, 1)
