@@ -261,23 +261,24 @@ class SharedSpans:
         return self.runs.select("doc_id_a", "doc_id_b").unionByName(far).distinct()
 
     def spans(self) -> DataFrame:
-        """``(doc_id, start, length, repeated)``: the shared stretches of every document, merged where they overlap or touch.
+        """``(doc_id, start, length, repeated)``: the shared stretches of every document, disjoint, merged where they overlap or touch.
 
         ``repeated`` stretches stand in an earlier document (smaller doc_id) too and can be removed by their
-        offsets; the others are the earliest occurrence.
+        offsets; the others are the earliest occurrence, less what repeated stretches of the same document cover (so they may be
+        shorter than ``least``). Both ways of comparing give the same rows.
         """
         first = self.runs.select(F.col("doc_id_a").alias("doc_id"), F.col("start_a").alias("start"), "length", F.lit(False).alias("repeated"))
         later = self.runs.select(F.col("doc_id_b").alias("doc_id"), F.col("start_b").alias("start"), "length", F.lit(True).alias("repeated"))
         far = self.windows.select("doc_id", "start", F.lit(self.least).alias("length"), (F.col("doc_id") > F.col("first")).alias("repeated"))
-        return merged(first.unionByName(later).unionByName(far))
+        return stretches(first.unionByName(later).unionByName(far))
 
     def report(self) -> DataFrame:
         """``(doc_id, n_chars, shared_chars, repeated_chars, shared_part)``, one row per document; 0 where nothing is shared."""
-        spans = self.spans()
-        repeated = spans.where("repeated").groupBy("doc_id").agg(F.sum("length").alias("repeated_chars"))
-        shared = merged(spans.withColumn("repeated", F.lit(True))).groupBy("doc_id").agg(F.sum("length").alias("shared_chars"))
+        chars = self.spans().groupBy("doc_id").agg(
+            F.sum("length").alias("shared_chars"), F.sum(F.when(F.col("repeated"), F.col("length"))).alias("repeated_chars")
+        )
         n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-        rows = self.documents.select("doc_id", n.alias("n_chars")).join(shared, "doc_id", "left").join(repeated, "doc_id", "left")
+        rows = self.documents.select("doc_id", n.alias("n_chars")).join(chars, "doc_id", "left")
         rows = rows.fillna(0, ["shared_chars", "repeated_chars"])
         return rows.withColumn("shared_part", F.coalesce(F.col("shared_chars") / F.nullif("n_chars", F.lit(0)), F.lit(0.0)))
 
@@ -302,13 +303,22 @@ def linked_classes(documents: DataFrame, least: int = LEAST, k: int = ANCHOR) ->
     return member.join(links, "class_id", "left").select("doc_id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """Unites overlapping and touching ``(doc_id, start, length, repeated)`` per doc_id and ``repeated``."""
-    own = Window.partitionBy("doc_id", "repeated").orderBy("start", "length")
-    end = F.col("start") + F.col("length")
-    reached = F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.distinct().withColumn("_new", (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int"))
-    numbered = marked.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "repeated", "_run").agg(
-        F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("length")
-    ).select("doc_id", "start", "length", "repeated")
+def stretches(spans: DataFrame) -> DataFrame:
+    """Disjoint ``(doc_id, start, length, repeated)``: what repeated spans cover, and what only the others cover.
+
+    A sweep over the ends of a document's spans, which are added up per position before the shuffle.
+    """
+    ends = spans.select("doc_id", "repeated", F.explode(F.array(
+        F.struct(F.col("start").alias("start"), F.lit(1).alias("step")),
+        F.struct((F.col("start") + F.col("length")).alias("start"), F.lit(-1).alias("step")),
+    )).alias("_end")).select("doc_id", "repeated", "_end.*")
+    steps = ends.groupBy("doc_id", "start").agg(
+        F.sum(F.when(F.col("repeated"), F.col("step")).otherwise(0)).alias("_again"), F.sum(F.when(F.col("repeated"), 0).otherwise(F.col("step"))).alias("_first")
+    )
+    along = Window.partitionBy("doc_id").orderBy("start")
+    open_ = along.rowsBetween(Window.unboundedPreceding, 0)
+    covered = F.when(F.sum("_again").over(open_) > 0, True).when(F.sum("_first").over(open_) > 0, False)  # null: by none
+    points = steps.select("doc_id", "start", covered.alias("repeated"))
+    changes = points.withColumn("_same", F.lag("repeated").over(along).eqNullSafe(F.col("repeated"))).where(~F.col("_same"))
+    lengths = changes.select("doc_id", "start", (F.lead("start").over(along) - F.col("start")).alias("length"), "repeated")
+    return lengths.where("repeated is not null")

@@ -60,6 +60,27 @@ def test_shared_spans(spark, compared):
     assert {d: r.repeated_chars for d, r in report.items() if r.repeated_chars} == {d: len(v) for d, v in again.items() if v}
 
 
+@pytest.mark.parametrize("compared", [200, 3, 0])
+def test_earliest_occurrences(spark, compared):
+    texts = corpus()
+    copied = "".join(random.Random(9).choice("mnopr") for _ in range(SPAN + 20))
+    texts += [(300 + i, chr(0x3400 + i) + copied + chr(0x3500 + i)) for i in range(150)]
+    _, own = brute(texts, SPAN)
+    want = set()
+    for d, t in texts:
+        state = [None] * (len(t or "") + 1)
+        for i in range(len(t or "") - SPAN + 1):
+            docs = own[t[i : i + SPAN]]
+            for p in range(i, i + SPAN if len(docs) > 1 else i):
+                state[p] = state[p] or min(docs) < d
+        cuts = [i for i in range(len(state)) if i == 0 or state[i] is not state[i - 1]] + [len(state)]
+        want |= {(d, a, b - a, state[a]) for a, b in zip(cuts, cuts[1:]) if state[a] is not None}
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = [tuple(r) for r in spans.SharedSpans(df, SPAN, 16, compared).spans().collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert [r[0] for r in rows if r[0] >= 300 and not r[3]] == [300]
+
+
 def test_classes(spark):
     texts = corpus()
     df = spark.createDataFrame(texts + [(300 + i, texts[3][1]) for i in range(40)], "doc_id long, text string")
