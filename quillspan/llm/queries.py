@@ -81,7 +81,7 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wrappers(spark: SparkSession, d: str) -> DataFrame:
-    return wrappers.coverage(_t(spark, d, "documents"))
+    return wrappers.inferred(_t(spark, d, "documents"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
