@@ -141,6 +141,16 @@ def test_markup():
         assert markup.parse(text) == ([], text), text
 
 
+def test_long_and_deep_markup():
+    formula = "x_1 + " * 60 + "x_2"
+    found, text = markup.parse(f"a ${formula}$ b")
+    assert {"latex", "formula"} <= set(found) and formula in text
+    _, text = markup.parse("a " + "\\textbf{" * 30 + "word" + "}" * 30 + " b")
+    assert "textbf" not in text and "word" in text
+    _, text = markup.parse("a " + "{{t|" * 30 + "x" + "}}" * 30 + " b")
+    assert "{{" not in text and "}}" not in text
+
+
 def test_marked_documents(spark):
     rows = [(i, t, "x") for i, t in enumerate([c[0] for c in CASES] + PLAIN)] + [(900, None, "x"), (901, "<b>" * 2 + "x", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, clean string")
