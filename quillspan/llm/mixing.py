@@ -31,10 +31,10 @@ def sized_documents(documents: DataFrame) -> DataFrame:
 def shares(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """What each source is to contribute: one row per source of ``targets``.
 
-    ``(source, name, target_share, max_repeats, own_tokens, own_documents, target_tokens, short)``;
+    ``(source, name, target_share, max_repeats, own_tokens, own_documents, used_documents, target_tokens)``;
     ``source`` as written in ``targets``, ``name`` as in :func:`source_name`. Null, NaN and negative weights are 0; a null
     ``max_repeats`` is 1. Rows of one name are added up, with the greatest ``max_repeats``.
-    ``short``: target_tokens > max_repeats x own_tokens.
+    ``used_documents`` are those with tokens.
     """
     weight = F.when(F.col("weight") > 0, F.nanvl("weight", F.lit(0.0))).otherwise(0.0)
     rows = targets.where("source is not null").groupBy(source_name("source").alias("name")).agg(
@@ -43,17 +43,17 @@ def shares(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
     all_weights, all_tokens = rows.agg(F.sum("weight")), sized.agg(F.sum("tokens"))
     own = sized.groupBy(F.col("source").alias("name")).agg(
-        F.sum("tokens").alias("own_tokens"), F.count(F.lit(1)).alias("own_documents")
+        F.sum("tokens").alias("own_tokens"), F.count(F.lit(1)).alias("own_documents"),
+        F.count_if(F.col("tokens") > 0).alias("used_documents"),
     )
     share = F.coalesce(F.col("weight") / F.nullif(all_weights.scalar(), F.lit(0.0)), F.lit(0.0))
     joined = rows.join(own, "name", "left").select(
         "source", "name", share.alias("target_share"), "max_repeats",
         F.coalesce("own_tokens", F.lit(0)).alias("own_tokens"), F.coalesce("own_documents", F.lit(0)).alias("own_documents"),
+        F.coalesce("used_documents", F.lit(0)).alias("used_documents"),
     )
     target = F.col("target_share") * F.coalesce(all_tokens.scalar(), F.lit(0))
-    return joined.withColumn("target_tokens", target).withColumn(
-        "short", F.col("target_tokens") > F.col("max_repeats") * F.col("own_tokens")
-    )
+    return joined.withColumn("target_tokens", target)
 
 
 def pivot(p: list[float], w: list[float], draw: np.random.Generator) -> tuple[list[float], int]:
@@ -110,7 +110,9 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataF
 
     ``chosen``: ``(doc_id, source, tokens, copies)``, documents used at least once, ``source`` as
     in :func:`source_name`. ``report``: the columns of :func:`shares` and
-    ``documents, copies, mixed_tokens, actual_share``, one row per source of ``targets``.
+    ``documents, copies, mixed_tokens, actual_share, short``, one row per source of ``targets``. ``short`` is read off the rounded
+    copies: every document with tokens is used ``max_repeats`` times and the source still misses its target. Only then is the target more
+    than max_repeats x own tokens: below that a source misses it by less than one copy of a document, and not with all of them used up.
 
     Every document of a source is to be used e = min(target / own tokens, max_repeats) times:
     floor(e) times for certain, once more with probability e - floor(e). These probabilities are
@@ -158,4 +160,6 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataF
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("documents", "copies", "mixed_tokens")}
     report = want.join(got, "name", "left").withColumns(zero)
     share = F.coalesce(F.col("mixed_tokens") / F.nullif(total.scalar(), F.lit(0)), F.lit(0.0))
-    return chosen, report.withColumn("actual_share", share)
+    used_up = F.col("copies") == F.col("used_documents") * F.greatest("max_repeats", F.lit(0))
+    short = used_up & (F.col("mixed_tokens") < F.col("target_tokens"))
+    return chosen, report.withColumns({"actual_share": share, "short": short}).drop("used_documents")
