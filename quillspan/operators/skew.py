@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.runtime import written
+
 #: A key is heavy when it holds more than one row in HEAVY_PART, so at most HEAVY_PART keys are heavy.
 HEAVY_PART = 1000
-#: Longest key kept in the broadcast list of heavy keys; longer keys stay unsalted and are still aggregated map-side.
-HEAVY_KEY_CHARS = 200
 
 
-def heavy_keys(df: DataFrame, key: str, parts: int = HEAVY_PART) -> DataFrame:
-    """Keys that hold more than 1/``parts`` of the non-null rows: fewer than ``parts`` rows, whatever the input.
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """``(_hash, _n)``: rows per 64-bit hash of the non-null keys, combined before the shuffle and written once."""
+    hashes = df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_hash"))
+    return written(hashes.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+
+
+def heavy_keys(counts: DataFrame, parts: int = HEAVY_PART) -> DataFrame:
+    """``(_hash)`` of keys that hold more than 1/``parts`` of all rows: fewer than ``parts`` rows of 8 bytes, whatever the input.
 
-    The count is combined before the shuffle, so no task sees the raw rows of a key.
+    Keys of one hash are heavy together, which costs a salt and changes no result.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(key).alias("_t"))
-    return counts.where((F.col("_n") * parts > total.scalar()) & (F.length(key) <= HEAVY_KEY_CHARS)).select(key)
+    total = counts.agg(F.sum("_n"))
+    return counts.where(F.col("_n") * parts > total.scalar()).select("_hash")
 
 
 def salted_postings_stats(
-    postings: DataFrame, salts: int = 64, key: str = "term", record: str = "doc_id", weight: str = "tf"
+    postings: DataFrame, salts: int = 64, key: str = "term", record: str = "doc_id", weight: str = "tf", counts: DataFrame | None = None
 ) -> DataFrame:
     """Rows, document frequency and total frequency of every key: ``(term, n_rows, df, tf)``.
 
-    Stage 0 finds the heavy keys. Stage 1 appends a salt to them and aggregates per
+    Stage 0 finds the heavy keys, from ``counts`` of :func:`key_counts` where given. Stage 1 appends a salt to them and aggregates per
     (key, salt, record), stage 2 per (key, salt), stage 3 merges the partials of a key.
     The salt is a hash of the record instead of a random number: a record then lies in
     exactly one salt, so distinct records may be added up, and a task that runs again after
@@ -39,8 +44,9 @@ def salted_postings_stats(
     rows = postings.select(
         F.col(key).alias("term"), F.col(record).cast("long").alias("_record"), F.col(weight).cast("long").alias("_w")
     ).where("term is not null")
-    heavy = F.broadcast(heavy_keys(rows, "term").select("term", F.lit(True).alias("_heavy")))
-    salted = rows.join(heavy, "term", "left").withColumn(
+    counts = key_counts(rows, "term") if counts is None else counts
+    heavy = F.broadcast(heavy_keys(counts).select("_hash", F.lit(True).alias("_heavy")))
+    salted = rows.join(heavy, F.xxhash64("term") == F.col("_hash"), "left").withColumn(
         "_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64("_record"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     )
     per_record = salted.groupBy("term", "_salt", "_record").agg(

@@ -32,8 +32,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     postings = _t(spark, d, "postings")
-    total = postings.selectExpr("count(term)")
-    return skew.salted_postings_stats(postings).where(f"n_rows > 0.02 * {total.first()[0]}").select("term")
+    counts = skew.key_counts(postings, "term")
+    total = counts.selectExpr("sum(_n)").first()[0] or 0
+    return skew.salted_postings_stats(postings, counts=counts).where(f"n_rows > 0.02 * {total}").select("term")
 
 
 def p7_term_stats(spark: SparkSession, d: str) -> DataFrame:

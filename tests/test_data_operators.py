@@ -98,17 +98,66 @@ CAPTIONS = [
 
 
 def test_captions():
-    one = U._convert({n: (d, c, U.Fraction(repr(f))) for n, d, c, f in UNITS})
-    got = [one(raw, None, snippet) for raw, snippet, _ in CAPTIONS]
+    one = U.Reader(U.UnitLexicon(UNITS))
+    got = [one.best(raw, None, snippet) for raw, snippet, _ in CAPTIONS]
     assert [g and (g[2], g[4]) for g in got] == [want for *_, want in CAPTIONS]
 
 
 def test_segments():
-    assert U.segment("kilometres")[0][:3] == ("metre", 3, 1)
-    assert U.segment("kg")[0][:3] == ("gram", 3, 1)
-    assert U.segment("m²")[0][:3] == ("metre", 0, 2)
-    assert {s[:2] for s in U.segment("mm")} == {("metre", -3)}
-    assert U.segment("xyz") == () and U.segment("") == () and U.segment("m" * 500) == ()
+    units = U.UnitLexicon([*UNITS, ("square metre", "area", "square metre", 1.0)])
+    best = lambda text: units.segment(text)[0][:4]
+    assert best("kilometres") == ("kilometre", "length", "mm", 10**6) and best(" KM. ") == ("metre", "length", "mm", 10**6)
+    assert best("kg") == ("gram", "mass", "mg", 10**6) and best("U.S.  Dollars") == ("dollar", "money", "cent", 100)
+    assert best("m²") == ("square metre", "area", "square metre", 1) and best("km^2")[3] == 10**6 and best("hectometres")[3] == 10**5
+    assert {s[:4] for s in units.segment("mm")} == {("metre", "length", "mm", 1)}
+    assert units.segment("xyz") == () and units.segment("") == () and units.segment("m" * 500) == () and units.segment("kg²") == ()
+    assert U.UnitLexicon(UNITS).segment("m²") == ()
+
+
+def test_any_unit_list_is_read():
+    long = "intergalactic standard unit of measurement"
+    one = U.Reader(U.UnitLexicon([("litre", "volume", "ml", 1000.0), (long, "x", "x", 2.0), ("kilogram", "mass", "g", 1000.0)]))
+    got = lambda *q: (r := one.best(*q)) and (r[2], r[4])
+    assert got("5 litres", None, None) == got("5", "liters", None) == got("5", None, "a 5 litres b") == ("ml", 5000)
+    assert got("5 ml", None, None) == ("ml", 5) and got("2 hectoliters", None, None) == ("ml", 200_000)
+    assert got("3", long + "s", None) == got("3", None, f"a 3 {long.upper()} b") == got("3", None, f"a 3 (in {long}) b") == ("x", 6)
+    assert got("3", None, f"a measured in {long}: 3 b") == got("3", None, f"a 3, all in {long}, b") == ("x", 6)
+    assert got("5 metres", None, None) is None and got("2 kilos", None, None) == ("g", 2000)
+
+
+def test_signs_and_multipliers():
+    one = U.Reader(U.UnitLexicon(UNITS))
+    got = lambda *q: (r := one.best(*q)) and (r[2], r[4])
+    assert got("-5 kg", None, None) == got("- 5", "kg", None) == got("−5 kg", None, None) == ("mg", -5 * 10**6)
+    assert got("-$5", None, None) == ("cent", -500) and got("A-5 kg", None, None) == ("mg", 5 * 10**6) and got("-0.5 mm", None, None) == ("mm", -1)
+    assert got("12m", None, "a 12m kg b") == got("12m", "kg", None) == ("mg", 12 * 10**12)
+    assert got("12m", None, "a 12m tall b") == ("mm", 12000) and got("3 m", None, None) == ("mm", 3000)
+
+
+_WRITTEN = {
+    ("mm", 10**6): ("km", "Km", "KM", "kms", "kilometre", "kilometers"), ("mm", 1000): ("metre", "metres", "meters", "mtr"), ("mm", 304.8): ("ft", "FT", "foot", "feet"),
+    ("mg", 10**6): ("kg", "KG", "kgs", "kilograms", "kilos"), ("mg", 10**9): ("tonne", "tonnes", "metric tons"), ("mg", 453592.37): ("lb", "lbs", "pounds"),
+    ("cent", 100): ("dollars", "Dollars", "U.S. dollars", "USD"), ("cent", 1): ("cents", "Cents"), ("bp", 100): ("%", "per cent", "percent", "pct"), ("bp", 10): ("per mille", "‰"),
+    ("bp", 1): ("basis points", "bps", "bp"),
+}
+_NUMBERS = {"7": 7, "1,250": 1250, "12 500": 12500, "3.5": 3.5, "2,5": 2.5, "1.250,75": 1250.75, "2 1/2": 2.5, "3/4": 0.75, "14.5K": 14500, "2.4m": 2.4e6, "3 billion": 3e9}
+
+
+def test_every_shape_with_every_spelling():
+    """At least 200 hand-made cases per shape: every spelling with every way of writing a number."""
+    one = U.Reader(U.UnitLexicon(UNITS))
+    shapes = {
+        "in raw": lambda n, u: (f"{n} {u}", None, f"a {n} {u} b."), "in unit": lambda n, u: (n, f" {u}.", f"a {n} {u} b"), "after": lambda n, u: (n, None, f"Big {n} {u} plap, b"),
+        "paren": lambda n, u: (n, None, f"a {n} (in {u}) b"), "all in": lambda n, u: (n, None, f"a {n}, all in {u}, b"), "measured": lambda n, u: (n, None, f"a measured in {u}: {n} b"),
+        "second": lambda n, u: (n, None, f"a 9911 yd and {n} {u} b"),
+    }
+    for name, shape in shapes.items():
+        cases = [(n, v, u, key) for n, v in _NUMBERS.items() for key, us in _WRITTEN.items() for u in us]
+        assert len(cases) >= 200
+        for n, v, u, (common, factor) in cases:
+            got = one.best(*shape(n, u))
+            want = int(U.Fraction(repr(v)) * U.Fraction(repr(factor)) + U.Fraction(1, 2))
+            assert got and (got[2], got[4]) == (common, want), (name, n, u, got)
 
 
 @pytest.mark.parametrize("salts", [1, 8])
@@ -128,4 +177,13 @@ def test_salted_stats(spark, salts):
     got = {r.term: (r.n_rows, r.df, r.tf) for r in skew.salted_postings_stats(df, salts).collect()}
     assert got == {t: (n, len(ds), f) for t, (n, ds, f) in want.items()}
     assert skew.salted_postings_stats(df.limit(0)).count() == 0
-    assert skew.heavy_keys(df, "term", 3).collect()[0][0] == "hot"
+    heavy = skew.heavy_keys(skew.key_counts(df, "term"), 3).collect()
+    assert [r[0] for r in heavy] == [spark.sql("select xxhash64('hot')").first()[0]]
+
+
+def test_a_hot_key_of_any_length_is_salted(spark):
+    long = "k" * 5000
+    df = spark.createDataFrame([(long, i % 70, 1) for i in range(2000)] + [("a", 1, 2)], "term string, doc_id long, tf long")
+    assert skew.heavy_keys(skew.key_counts(df, "term"), 3).count() == 1
+    got = {(r.term, r.n_rows, r.df, r.tf) for r in skew.salted_postings_stats(df, 8).collect()}
+    assert got == {(long, 2000, 70, 2000), ("a", 1, 1, 2)}
