@@ -34,8 +34,9 @@ def is_upper(c: Column) -> Column:
 
 
 def java_hash(text: Column) -> Column:
-    """The 32-bit signed hash of a string's UTF-16 units, 31 * h + unit from left to right (characters of the basic plane)."""
-    units = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """The 32-bit signed hash of a string's UTF-16 units, 31 * h + unit from left to right."""
+    pieces = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
+    units = F.transform(pieces, lambda u: F.conv(u, 16, 10).cast("long"))
     h = F.aggregate(units, F.lit(0).cast("long"), lambda acc, u: (acc * 31 + u) % (1 << 32))
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
 

@@ -105,8 +105,11 @@ def normal_dictionary(entries: DataFrame) -> DataFrame:
 
 
 def lookup(entries: DataFrame, keys: DataFrame, column: str = "key") -> DataFrame:
-    """``(asked, key, kind, tf, df)``: the entry of each asked key, whatever its case; keys without entry are left out."""
-    rank = F.when(F.col("kind") == "entity", 0).when(F.col("key") == F.col("asked"), 1).otherwise(2)
+    """``(asked, key, kind, tf, df)``: the entry of each asked key, whatever its case; keys without entry are left out.
+
+    Entities go first, then the key to the letter, then in small letters, then others.
+    """
+    rank = F.when(F.col("kind") == "entity", 0).when(F.col("key") == F.col("asked"), 1).when(F.col("key") == F.lower("key"), 2).otherwise(3)
     asked = keys.select(F.col(column).alias("asked")).where("asked is not null").distinct().withColumn("lkey", F.lower("asked"))
     hits = asked.join(entries.withColumn("lkey", F.lower("key")), "lkey")
     best = hits.groupBy("asked").agg(F.min(F.struct(rank.alias("r"), "key", "kind", "tf", "df")).alias("b"))
@@ -155,7 +158,10 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, config: EngineConfig) -> Index:
         """The saved index, with the stop words it was built with, so that queries are parsed alike."""
-        words = tuple(r[0] for r in spark.read.parquet(f"{config.place}/{STOP_WORDS}").limit(MAX_STOP_WORDS).collect())
+        rows = spark.read.parquet(f"{config.place}/{STOP_WORDS}").limit(MAX_STOP_WORDS + 1).collect()
+        if len(rows) > MAX_STOP_WORDS:
+            raise ValueError(f"more than {MAX_STOP_WORDS} stop words")
+        words = tuple(r[0] for r in rows)
         return cls(*(spark.read.parquet(f"{config.place}/{t}") for t in cls.TABLES), replace(config, stop_words=words))
 
     @staticmethod

@@ -214,7 +214,7 @@ ORACLE: dict[str, str] = {
     "dictionary_entities_intended": f"{_INTENDED} SELECT key, kind, tf, df FROM dent",
     "dictionary_lookup": f"""{_INDEX}, a AS (SELECT DISTINCT term AS asked FROM postings WHERE term IS NOT NULL)
       SELECT asked, key, kind, tf, df FROM (SELECT asked, d.*, row_number() OVER (PARTITION BY asked
-        ORDER BY CASE WHEN kind = 'entity' THEN 0 WHEN key = asked THEN 1 ELSE 2 END, key) AS r FROM a JOIN dict d ON lower(asked) = lower(key)) WHERE r = 1""",
+        ORDER BY CASE WHEN kind = 'entity' THEN 0 WHEN key = asked THEN 1 WHEN key = lower(key) THEN 2 ELSE 3 END, key) AS r FROM a JOIN dict d ON lower(asked) = lower(key)) WHERE r = 1""",
     "dictionary_view": f"{_INDEX} SELECT key AS term, tf FROM dict ORDER BY term",
     "postings": f"{_INDEX} SELECT * FROM post",
     "inverted_file_lines": f"{_INDEX} SELECT term, term || '|' || string_agg(doc_id || ',' || tf, '|' ORDER BY doc_id) AS line FROM post GROUP BY term",
@@ -222,7 +222,8 @@ ORACLE: dict[str, str] = {
     "dictionary_round_trip": f"{_INDEX} SELECT key, tf, df FROM dict",
     "document_map": f"{_INDEX} SELECT * REPLACE ({_FLAT} AS dominant_entities) FROM dmap",
     "document_map_lines": f"""{_INDEX} SELECT doc_id, doc_id || '|' || name || ',' || max_tf || ',' || length ||
-      coalesce(array_to_string(list_transform(dominant_entities, lambda x: ',' || x.entity || ',' || x.tf), ''), '') AS line FROM dmap""",
+      coalesce(array_to_string(list_transform(dominant_entities, lambda x: ',' || x.entity || ',' || x.tf), ''), '') AS line FROM dmap
+      UNION ALL SELECT NULL, (SELECT sum(length)::BIGINT::VARCHAR FROM dmap)""",
     "document_map_round_trip": f"{_INDEX} SELECT * REPLACE ({_FLAT} AS dominant_entities) FROM dmap",
     "dominant_entities": f"{_INDEX} SELECT doc_id, place, entity, tf FROM top5",
     "synonym_cosine_top10": f"{_INDEX}, {_SIMILAR} SELECT * FROM sim",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger("quillspan")
 DOC = r"(?s)<DOC>(.+?)</DOC>"
 DOCNO = r"(?s)<DOCNO>(.+?)</DOCNO>"
 
@@ -21,25 +25,29 @@ def docno(raw: Column, strict: bool = True) -> Column:
     return F.when(found != "", F.trim(found)).otherwise(missing)
 
 
-def read_corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, strict: bool = True, doc_id: Column | None = None) -> DataFrame:
     """``(doc_id, docno, raw)`` of ``path/X/X`` files (name equal to the folder's).
 
-    ``doc_id`` is a hash of file and place of the document in it: stable between runs, without a global
-    count. A path without such files is an error of the reader. Not strict: documents without docno
+    ``doc_id`` is a hash of file and place of the document in it, stable between runs and without a global
+    count, or what the given expression over ``docno`` says. A path without such files is an error of the reader. Not strict: documents without docno
     have a null one and can be set apart.
     """
     files = spark.read.text(f"{path.rstrip('/')}/*/*", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     parts = F.split("file", "/")
     own = files.where(F.element_at(parts, -1) == F.element_at(parts, -2))
     raw = own.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(DOC), F.lit(0))).alias("at", "raw"))
-    return raw.select(F.xxhash64("file", "at").alias("doc_id"), docno(F.col("raw"), strict).alias("docno"), "raw")
+    named = raw.select("file", "at", docno(F.col("raw"), strict).alias("docno"), "raw")
+    return named.select((F.xxhash64("file", "at") if doc_id is None else doc_id).alias("doc_id"), "docno", "raw")
 
 
 def read_stop_words(spark: SparkSession, path: str, most: int = 100_000) -> tuple[str, ...]:
     """The words of a file, one per line; more than ``most`` are refused. A missing file gives none."""
     try:
         rows = spark.read.text(path).where("value <> ''").limit(most + 1).collect()
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log.warning("no stop words: %s does not exist", path)
         return ()
     if len(rows) > most:
         raise ValueError(f"more than {most} stop words")
@@ -95,6 +103,11 @@ def parse_document_map(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+def parse_document_map_head(lines: DataFrame, line: str = "value") -> DataFrame:
+    """``(total_len)`` of the head line."""
+    return lines.where(~F.col(line).contains("|")).select(F.col(line).cast("long").alias("total_len"))
+
+
 def parse_inverted_file(lines: DataFrame, line: str = "value") -> DataFrame:
     """``(term, doc_id, tf)`` of lines ``term(|doc,tf)+``."""
     parts = F.split(line, r"\|")

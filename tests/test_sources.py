@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.config import EngineConfig
+from quillspan.functions.text import java_hash
+from quillspan.operators import index
 from quillspan.plans.search import TOPICS
 from quillspan.sources import corpus as C
 from quillspan.sources import sinks as K
@@ -55,6 +57,53 @@ def test_inverted_lines_of_a_hot_term(spark):
     assert C.parse_inverted_file(lines, "line").exceptAll(post).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", ["xxhash64(id)", "case when id < 999 then id else 9223372036854775807 end", "id * 3 - 1500"])
+def test_inverted_lines_of_uneven_ids(spark, doc_id):
+    post = spark.range(1000).selectExpr("'hot' as term", f"{doc_id} as doc_id", "cast(1 as long) as tf").union(spark.sql("select 'cold', 5L, 2L")).repartition(7)
+    for part in (1, 100, 999):
+        lines = K.inverted_lines(post, part=part).cache()
+        got = C.parse_inverted_file(lines, "line")
+        assert got.exceptAll(post).count() == 0 and got.count() == 1001
+        sizes = {r.part: r.line.count("|") for r in lines.where("term = 'hot'").collect()}
+        assert sizes == {i: min(part, 1000 - i * part) for i in range(-(-1000 // part))}
+        ids = [[int(p.split(",")[0]) for p in r.line.split("|")[1:]] for r in lines.where("term = 'hot'").orderBy("part").collect()]
+        assert sum(ids, []) == sorted(sum(ids, []))
+
+
+def test_hashes_of_any_character(spark):
+    def java(text):
+        h = 0
+        for i in range(0, len(b := text.encode("utf-16-be")), 2):
+            h = (31 * h + b[i] * 256 + b[i + 1]) & 0xFFFFFFFF
+        return h - (1 << 32) if h >> 31 else h
+
+    texts = ["", "a", "Falkland petroleum exploration", "é", "\U0001f600", "x\U0001f600y" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", java_hash(F.col("t")).alias("h"))
+    assert {r.t: r.h for r in df.collect()} == {t: java(t) for t in texts} and java("\U0001f600") == 1772899
+
+
+def test_heads_of_document_maps(spark):
+    doc_map = spark.createDataFrame([(1, "a", 2, 5, []), (2, "b", 1, 7, [("X Y", 3)])], "doc_id long, name string, max_tf long, length long, dominant_entities array<struct<entity:string,tf:long>>")
+    lines = K.document_map_lines(doc_map)
+    assert C.parse_document_map_head(lines, "line").collect()[0][0] == 12
+    assert sorted(C.parse_document_map(lines, "line").collect()) == sorted(doc_map.collect())
+    assert C.parse_document_map_head(K.document_map_lines(doc_map.limit(0)), "line").collect()[0][0] == 0
+
+
+def test_stop_words_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    assert C.read_stop_words(spark, str(tmp_path / "none")) == ()
+    with pytest.raises(Exception):
+        C.read_stop_words(spark, "nosuchscheme://x/y")
+    (tmp_path / "s").write_text("a\nb\nc\n")
+    with pytest.raises(ValueError):
+        C.read_stop_words(spark, str(tmp_path / "s"), most=2)
+    place = EngineConfig(index_path=str(tmp_path))
+    spark.range(5).selectExpr("string(id) as word").write.parquet(f"{place.place}/stop_words")
+    monkeypatch.setattr(index, "MAX_STOP_WORDS", 4)
+    with pytest.raises(ValueError, match="stop words"):
+        index.Index.load(spark, place)
+
+
 def test_config(tmp_path):
     path = str(tmp_path / "c.properties")
     assert EngineConfig.load(path) == EngineConfig()
