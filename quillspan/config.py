@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -18,6 +19,7 @@ class EngineConfig:
     observed: bool = True
     top_k: int = 50
     pad: bool = False
+    batch_size: int = 10  # corpus files per parser batch; kept with the settings, Spark splits the files itself
     corpus_path: str = ""
     index_path: str = ""
     stop_words: tuple[str, ...] = STOP_WORDS
@@ -38,7 +40,7 @@ class EngineConfig:
         """Folder of the index; stemmed and unstemmed ones lie side by side."""
         return f"{self.index_path.rstrip('/')}/stemmed={str(self.stem).lower()}"
 
-    _KEYS = {"CorpusPath": "corpus_path", "IndexPath": "index_path", "UseStemmer": "stem", "UseSemantic": "semantic"}
+    _KEYS = {"CorpusPath": "corpus_path", "IndexPath": "index_path", "ParserBatchSize": "batch_size", "UseStemmer": "stem", "UseSemantic": "semantic"}
 
     @classmethod
     def load(cls, path: str) -> EngineConfig:
@@ -52,6 +54,10 @@ class EngineConfig:
             name = cls._KEYS.get(key.strip())
             if eq and name and not line.lstrip().startswith(("#", "!")):
                 value = value.strip()
+                if name == "batch_size":
+                    if not re.fullmatch(r"\d{1,4}", value):
+                        raise ValueError(f"ParserBatchSize must have one to four digits, not {value!r}")
+                    value = int(value)
                 got[name] = value.lower() == "true" if name in ("stem", "semantic") else value
         return cls(**got)
 

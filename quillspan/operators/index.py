@@ -116,6 +116,11 @@ def lookup(entries: DataFrame, keys: DataFrame, column: str = "key") -> DataFram
     return best.select("asked", "b.key", "b.kind", "b.tf", "b.df")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 @dataclass
 class Index:
     """The tables of an index."""
@@ -157,7 +162,10 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, config: EngineConfig) -> Index:
-        """The saved index, with the stop words it was built with, so that queries are parsed alike."""
+        """The saved index, with the stop words it was built with, so that queries are parsed alike; without one there is an error."""
+        missing = [t for t in (*cls.TABLES, STOP_WORDS) if not _exists(spark, f"{config.place}/{t}")]
+        if missing:
+            raise ValueError(f"no index was found at {config.place}: {', '.join(missing)} missing")
         rows = spark.read.parquet(f"{config.place}/{STOP_WORDS}").limit(MAX_STOP_WORDS + 1).collect()
         if len(rows) > MAX_STOP_WORDS:
             raise ValueError(f"more than {MAX_STOP_WORDS} stop words")

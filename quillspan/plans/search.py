@@ -21,8 +21,9 @@ from quillspan.operators import index as I
 from quillspan.operators import report as R
 from quillspan.operators import search as S
 from quillspan.operators import synonyms as Y
+from quillspan.plans.topics import TOPICS
 from quillspan.sources import corpus as C
-from quillspan.runtime import ship, spread, written
+from quillspan.runtime import kept_path, ship, spread, written
 from quillspan.sources import sinks as K
 
 PLAIN = EngineConfig()
@@ -246,7 +247,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def inverted_file_lines(spark: SparkSession, d: str) -> DataFrame:
-    return K.inverted_lines(I.postings(_kept(spark, d))).select("term", "line")
+    return K.inverted_lines(I.postings(_kept(spark, d)), part=100)
 
 
 @_query
@@ -376,30 +377,40 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return R.index_stats(_index(spark, d))
 
 
-TOPICS = """<top>
-
-<num> Number: 351
-<title> Falkland petroleum exploration
-
-<desc> Description:
-What information is available on petroleum exploration
-in the South Atlantic?
-
-<narr> Narrative:\x20
-Any document discussing petroleum exploration is relevant.
-Documents on fishing are not relevant.
-More text.
-</top>
-
-<top>
-<num> Number: 352
-<title> Tunnel impact
-<desc> Description:
-Which effects had the tunnel?
-<narr> Narrative:\x20
-Economic effects count.
-</top>
-"""
+def _tagged_corpus(spark: SparkSession, d: str) -> str:
+    """A corpus folder with the documents as tagged text, files of about 5 000: ``X/X`` in a folder that is deleted with the other tables."""
+    docs = _docs(spark, d)
+    files = 1 + docs.count() // 5000
+    raw = F.concat(F.lit("<DOC>\n<DOCNO> "), "docno", F.lit(" </DOCNO>\n<TEXT>\n"), F.coalesce("text", F.lit("")), F.lit("\n</TEXT>\n</DOC>\n"))
+    rows = docs.select(raw.alias("value"), F.pmod("doc_id", F.lit(files)).alias("file"))
+    place = kept_path(spark, "corpus")
+    rows.repartition("file").write.partitionBy("file").text(place)
+    K.name_corpus_files(spark, place)
+    return place
+
+
+#: The running number of the original, which orders documents: the last part of their docno.
+_NUMBERED = r"cast(regexp_extract(docno, '-([0-9]+)$', 1) as long)"
+
+
+@_query
+def corpus_to_run(spark: SparkSession, d: str) -> DataFrame:
+    """From files to a run file: tagged corpus, saved and loaded index, topics file, run lines."""
+    docs = C.read_corpus(spark, _tagged_corpus(spark, d), doc_id=F.expr(_NUMBERED))
+    config = EngineConfig(index_path=kept_path(spark, "index"))
+    I.Index.build(B.tagged_sections(spread(docs)), docs, config).save()
+    topic = F.concat(
+        F.lit("<top>\n<num> Number: "), "query_id", F.lit("\n<title> "), "docno", F.lit("\n<desc> Description:\n"),
+        F.regexp_replace("text", r"[\r\n<]", " "), F.lit("\n</top>\n"),
+    )
+    topics = kept_path(spark, "topics")
+    asked = _docs(spark, d).where("doc_id % 100 = 0 and text is not null").withColumnRenamed("doc_id", "query_id")
+    asked.select(topic.alias("value")).write.text(topics)
+    index = I.Index.load(spark, config)
+    ranked = S.search(C.parse_topics(spark.read.text(topics, wholetext=True)), index)
+    run = kept_path(spark, "run")
+    R.write_run_file(R.run_lines(ranked, index.document_map), run)
+    return spark.read.text(run).select(F.col("value").alias("line"))
 
 
 @_query

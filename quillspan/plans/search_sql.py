@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspan.functions import lexicon as L
+from quillspan.plans.topics import TOPICS
 
 
 def _list(words) -> str:
@@ -183,6 +184,24 @@ _HASH = """(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::BIGINT"""
 
 _FLAT = "coalesce(array_to_string(list_transform(dominant_entities, lambda x: x.entity || ':' || x.tf), '; '), '')"
 
+_TOPICS = f"""
+  WITH file AS (SELECT '{TOPICS.replace("'", "''")}' AS value),
+  topic AS (SELECT unnest(string_split(value, '<num> Number:')[2:]) AS t FROM file),
+  lines AS (SELECT t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM topic),
+  heads AS (SELECT *, CASE WHEN starts_with(line, '<desc> Description:') THEN 'desc' WHEN starts_with(line, '<narr> Narrative: ') THEN 'narr' END AS head FROM lines),
+  parts AS (SELECT *, max(CASE WHEN line = '' OR line LIKE '<%' OR line LIKE '%not relevant%' THEN i END) OVER (PARTITION BY t ORDER BY i) AS cut,
+    max(CASE WHEN head IS NOT NULL THEN i END) OVER (PARTITION BY t ORDER BY i) AS open FROM heads),
+  body AS (SELECT t, string_agg(line || chr(10), '' ORDER BY i) AS b FROM parts WHERE cut = open AND i > open GROUP BY t)
+  SELECT regexp_extract(t, '^\\s*(\\d+)', 1)::BIGINT AS query_id, trim(regexp_extract(t, '<title>([^\\n]*)', 1)) || coalesce(b, '') AS text FROM topic LEFT JOIN body USING (t)"""
+
+_NUMBERED = "regexp_extract(docno, '-([0-9]+)$', 1)::BIGINT"
+_FILED = f"""SELECT {_NUMBERED} AS doc_id, 0 AS sec, '<TEXT>' || chr(10) || coalesce(text, '') || chr(10) || '</TEXT>' AS body FROM documents"""
+_TOPIC_TEXTS = r"""SELECT doc_id, 0 AS sec, '<TEXT>' || docno || regexp_replace(text, '[\r\n<]', ' ', 'g') || chr(10) || '</TEXT>' AS body
+  FROM documents WHERE text IS NOT NULL AND doc_id % 100 = 0"""
+_BM25_FILED = f"WITH {chain('', _FILED)}, {_index()}, {_ranked(_FIRST, _TERMS)}".replace(_ASKED, _TOPIC_TEXTS).replace(
+    "FROM documents d LEFT JOIN", f"FROM (SELECT {_NUMBERED} AS doc_id, docno FROM documents) d LEFT JOIN")
+_END_TO_END = f"{_BM25_FILED} SELECT query_id || ' 0 ' || name || ' 10 9 mt' AS line FROM ranked JOIN dmap USING (doc_id)"
+
 ORACLE: dict[str, str] = {
     "doc_split": "SELECT record_id AS doc_id, unnest(regexp_extract_all(raw, '(?s)<DOC>.+?</DOC>')) AS doc FROM raw_records WHERE fmt = 'trec'",
     "docno_extract": "SELECT record_id AS doc_id, trim(nullif(regexp_extract(raw, '(?s)<DOCNO>(.+?)</DOCNO>', 1), '')) AS docno FROM raw_records WHERE fmt = 'trec' AND raw IS NOT NULL",
@@ -217,7 +236,8 @@ ORACLE: dict[str, str] = {
         ORDER BY CASE WHEN kind = 'entity' THEN 0 WHEN key = asked THEN 1 WHEN key = lower(key) THEN 2 ELSE 3 END, key) AS r FROM a JOIN dict d ON lower(asked) = lower(key)) WHERE r = 1""",
     "dictionary_view": f"{_INDEX} SELECT key AS term, tf FROM dict ORDER BY term",
     "postings": f"{_INDEX} SELECT * FROM post",
-    "inverted_file_lines": f"{_INDEX} SELECT term, term || '|' || string_agg(doc_id || ',' || tf, '|' ORDER BY doc_id) AS line FROM post GROUP BY term",
+    "inverted_file_lines": f"""{_INDEX} SELECT term, part, term || '|' || string_agg(doc_id || ',' || tf, '|' ORDER BY doc_id) AS line FROM (
+      SELECT *, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 100 AS part FROM post) GROUP BY term, part""",
     "inverted_file_round_trip": f"{_INDEX} SELECT * FROM post",
     "dictionary_round_trip": f"{_INDEX} SELECT key, tf, df FROM dict",
     "document_map": f"{_INDEX} SELECT * REPLACE ({_FLAT} AS dominant_entities) FROM dmap",
@@ -245,8 +265,6 @@ ORACLE: dict[str, str] = {
     "index_stats": f"""{_INDEX} SELECT (SELECT count(*) FROM dmap) AS documents, (SELECT count(*) FROM dict WHERE kind <> 'entity') AS terms,
       (SELECT count(*) FROM dent) AS entities, (SELECT count(*) FROM dict) AS dictionary_size, (SELECT count(*) FROM post) AS postings,
       (SELECT sum(length)::BIGINT FROM dmap) AS total_len, (SELECT round(avg(length), 6) FROM dmap) AS avgdl""",
-    "topics_parse": """
-      SELECT 351::BIGINT AS query_id, 'Falkland petroleum exploration' || 'What information is available on petroleum exploration' || chr(10) || 'in the South Atlantic?' || chr(10)
-        || 'Any document discussing petroleum exploration is relevant.' || chr(10) AS text
-      UNION ALL SELECT 352, 'Tunnel impact' || 'Which effects had the tunnel?' || chr(10) || 'Economic effects count.' || chr(10)""",
+    "topics_parse": _TOPICS,
+    "corpus_to_run": _END_TO_END,
 }

@@ -67,6 +67,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def kept_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted with the tables of :func:`written`."""
+    path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -74,10 +81,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     readers use one result. The files are removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
+    path = kept_path(spark, tag)
     schema = df.schema
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 

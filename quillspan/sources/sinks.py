@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.runtime import written
@@ -32,6 +32,22 @@ def inverted_lines(postings: DataFrame, part: int = 100_000) -> DataFrame:
     return lists.select("term", "part", F.concat_ws("|", F.col("term"), F.array_join(texts, "|")).alias("line"))
 
 
+def name_corpus_files(spark: SparkSession, place: str) -> None:
+    """Turns ``file=X/part-...`` under ``place``, one part each, into the corpus layout ``X/X``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(place)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if not name.startswith("file="):
+            continue
+        own = jvm.org.apache.hadoop.fs.Path(root, name[5:])
+        fs.rename(folder.getPath(), own)
+        for f in fs.listStatus(own):
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(own, name[5:]))
+
+
 def dictionary_lines(entries: DataFrame, pointer: int = -1) -> DataFrame:
     """``(line)``: ``term|tf|df|pointer``. Tables need no file pointer; a constant fills its place."""
     return entries.select(F.concat_ws("|", "key", F.col("tf").cast("string"), F.col("df").cast("string"), F.lit(str(pointer))).alias("line"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quillspan.config import EngineConfig
 from quillspan.functions.text import java_hash
 from quillspan.operators import index
-from quillspan.plans.search import TOPICS
+from quillspan.plans.topics import TOPICS
 from quillspan.sources import corpus as C
 from quillspan.sources import sinks as K
 
@@ -108,5 +108,13 @@ def test_config(tmp_path):
     path = str(tmp_path / "c.properties")
     assert EngineConfig.load(path) == EngineConfig()
     EngineConfig(stem=True, index_path="/x").save(path)
+    with open(path, "a") as f:
+        f.write("ParserBatchSize=25\n")
+    assert EngineConfig.load(path).batch_size == 25
+    with open(path, "a") as f:
+        f.write("ParserBatchSize=12345\n")
+    with pytest.raises(ValueError, match="ParserBatchSize"):
+        EngineConfig.load(path)
+    EngineConfig(stem=True, index_path="/x").save(path)
     got = EngineConfig.load(path)
     assert got.stem and got.place == "/x/stemmed=true" and (got.k, got.b) == (0.4, 0.9)
