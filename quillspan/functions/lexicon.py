@@ -33,7 +33,9 @@ STOP_CHARS = r"[.,!:\"\-|\]?;\\/><\[]+$"
 #: Deleted from the text before anything else.
 SYMBOLS = r"[{}()|@#^&*+=_']"
 NUMERIC = r"\d+([,]\d)*([.]\d+)?"
-HYPHEN_RUN = r"[\w-]+"
+#: A whole run of word characters and hyphens that has a hyphen.
+HYPHEN_RUN = r"(?<![\w-])\w*+-[\w-]*"
+NO_WORD_BEFORE = r"(?<![-$<\p{L}\p{N}\p{M}_])"
 #: ASCII words that touch no letter, digit or mark outside ASCII, and none of - $ < before or - > after.
 WORD = r"(?<![-$<\p{L}\p{N}\p{M}_])\w+(?![->\p{L}\p{N}\p{M}_])"
 WORD_AT_END = r"(?<![-$<\p{L}\p{N}\p{M}_])\w+$"

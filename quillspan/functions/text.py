@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import lexicon as L
@@ -43,8 +43,7 @@ def java_hash(text: Column) -> Column:
 
 def skipped(w: Column) -> Column:
     """Words that the number rules own: postfixes, money, months, percent, distance, weight, numbers."""
-    names = [*L.POSTFIXES, *L.DOLLARS, *L.MONTHS, *L.PERCENTS, *L.DISTANCES, *L.WEIGHTS]
-    return w.isin(names) | is_number(w)
+    return w.isin(_skipped_names()) | is_number(w)
 
 
 def accepted(w: Column) -> Column:
@@ -107,18 +106,80 @@ def word_emissions(ws: Column, stop_words: Sequence[str]) -> Column:
     return F.flatten(F.zip_with(F.filter(ws, lambda x: x.isNotNull()), F.slice(taken, F.lit(1), F.size(ws)), one))
 
 
-def hyphened(toks: Column) -> Column:
+def hyphened(text: Column) -> Column:
     """Words joined by single hyphens, as they are: array of strings.
 
     Runs of word characters and hyphens are cut at double hyphens, since a regular expression with a repeated group
     of varying length would recurse for every part of a long run.
     """
-    runs = F.flatten(F.transform(toks, lambda t: F.regexp_extract_all(t, F.lit(L.HYPHEN_RUN), F.lit(0))))
-    parts = F.flatten(F.transform(runs, lambda r: F.split(r, "-{2,}", -1)))
+    parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(L.HYPHEN_RUN), F.lit(0)), lambda r: F.split(r, "-{2,}", -1)))
     joined = F.transform(parts, lambda p: F.trim(p, F.lit("-")))
     return F.filter(joined, lambda p: p.contains("-") & accepted(p))
 
 
+#: First characters of the strings of :func:`items` that need no further test: a term of a capital word, and one of another word.
+CAPITAL, SMALL = "\x01", "\x02"
+
+
+def _skipped_names() -> list[str]:
+    return [*L.POSTFIXES, *L.DOLLARS, *L.MONTHS, *L.PERCENTS, *L.DISTANCES, *L.WEIGHTS]
+
+
+def pairs(text: Column) -> Column:
+    """What the greedy pairing of capital words takes, ``First Second`` from left to right, where :data:`IRREGULAR` does not occur.
+
+    A match takes its second word along, so the next one starts behind it, which is the pairing.
+    """
+    names = "|".join(n for n in _skipped_names() if n[0].isascii() and n[0].isupper())
+    return F.regexp_extract_all(text, F.lit(rf"{L.NO_WORD_BEFORE}(?!(?:{names}) )[A-Z]\w* \p{{Lu}}[\p{{L}}\p{{Nd}}-]*"), F.lit(0))
+
+
+#: A capital word before a capitalised one that isn't itself a word of the section (letters outside ASCII, a hyphen at its end): such a
+#: pair takes whatever word comes next, so the section's words are paired one by one.
+IRREGULAR = (
+    rf"{L.NO_WORD_BEFORE}[A-Z]\w* (?=\p{{Lu}})(?![A-Z][A-Za-z0-9]*(?![-A-Za-z0-9>\p{{L}}\p{{N}}\p{{M}}_]))(?![\p{{L}}\p{{Nd}}-]*-[\p{{L}}\p{{Nd}}])"
+)
+
+
+def items(text: Column, paired: Column, stop_words: Sequence[str]) -> Column:
+    """Everything that words give in a section: array of words, of pairs (with a blank), of hyphen terms, and of terms marked as tested.
+
+    Words stand for themselves and are tested one by one after they are exploded; a word that a pair takes gives the same term as alone,
+    unless it belongs to the number rules, which is why those are added here.
+    """
+    stop = list(stop_words)
+    second = lambda p: F.substring_index(p, " ", -1)
+    taken = F.filter(paired, lambda p: second(p).isin(_skipped_names()) & ~F.lower(second(p)).isin(stop) & accepted(second(p)))
+    regular = F.concat(F.regexp_extract_all(text, F.lit(L.WORD), F.lit(0)), paired, F.transform(taken, lambda p: F.concat(F.lit(CAPITAL), F.lower(second(p)))))
+    one_by_one = F.transform(
+        word_emissions(words(tokens(text)), stop_words),
+        lambda e: F.when(e["kind"] == "entity", e["base"]).when(e["cap"], F.concat(F.lit(CAPITAL), e["base"])).otherwise(F.concat(F.lit(SMALL), e["base"])),
+    )
+    return F.concat(F.when(text.rlike(IRREGULAR), one_by_one).otherwise(regular), F.when(text.contains("-"), hyphened(text)).otherwise(F.array().cast("array<string>")))
+
+
+def emitted(items_: DataFrame, item: str, stop_words: Sequence[str]) -> DataFrame:
+    """``(doc_id, kind, base, cap)`` of exploded :func:`items`; ``cap`` is null where the case is kept as it is.
+
+    Plain comparisons of one string, so that they are compiled; patterns are only tried on words that start with a digit.
+    """
+    s = F.col(item)
+    first = F.ascii(s)
+    rows = items_.select("doc_id", s, F.when(first < 3, "tested").when(s.contains(" "), "pair").when(s.contains("-"), "hyphen").alias("_what"),
+                         first.between(48, 57).alias("_digit"), first.between(65, 90).alias("_capital"))
+    stop = F.when(F.col("_capital"), F.lower(s)).otherwise(s).isin(list(stop_words)) if stop_words else F.lit(False)
+    number = F.col("_digit") & (is_number(s) | s.rlike(L.WORD_NUMBER))
+    word = (F.length(s) >= 2) & ~stop & ~s.isin(_skipped_names()) & ~number
+    rows = rows.where(F.col("_what").isNotNull() | word)
+    what = F.col("_what")
+    base = (
+        F.when(what.isNull(), F.lower(s)).when(what == "pair", F.upper(F.rtrim(s, F.lit("-")))).when(what == "tested", F.substr(s, F.lit(2)))
+        .otherwise(s)
+    )
+    cap = F.when(what.isNull(), F.col("_capital")).when(what == "pair", True).when(what == "tested", first == 1)
+    return rows.select("doc_id", F.when(what == "pair", "entity").otherwise("term").alias("kind"), base.alias("base"), cap.alias("cap"))
+
+
 def numeric_contexts(toks: Column) -> Column:
     """For every token with a digit: the token and its neighbours, as far as the number rules look."""
     at = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.get(toks, i).rlike(r"\d"))

@@ -9,17 +9,18 @@ from quillspan.config import EngineConfig
 from quillspan.functions.numbers import classified, matches
 from quillspan.functions.plan import pinned
 from quillspan.functions.porter import stem_column
-from quillspan.functions.text import accepted, clean, hyphened, tokens, word_emissions, words
+from quillspan.functions.text import accepted, clean, emitted, items, pairs, tokens
 
 OPEN, CLOSE = "<TEXT>", "</TEXT>"
 
 
 def _sections(df: DataFrame, body: Column) -> DataFrame:
-    return df.select("doc_id", F.posexplode(body).alias("sec", "body")).select("doc_id", "sec", tokens(clean(F.col("body"))).alias("tokens"))
+    cleaned = df.select("doc_id", F.posexplode(body).alias("sec", "body")).select("doc_id", "sec", clean(F.col("body")).alias("clean"))
+    return cleaned.withColumn("tokens", tokens(F.col("clean")))
 
 
 def tagged_sections(docs: DataFrame, raw: str = "raw") -> DataFrame:
-    """``(doc_id, sec, tokens)`` of every ``<TEXT>`` element of a raw document; each is parsed on its own."""
+    """``(doc_id, sec, clean, tokens)`` of every ``<TEXT>`` element of a raw document; each is parsed on its own."""
     return _sections(docs, F.regexp_extract_all(raw, F.lit(rf"(?s){OPEN}(.+?){CLOSE}"), F.lit(0)))
 
 
@@ -37,15 +38,13 @@ def number_matches(sections: DataFrame) -> DataFrame:
 
 def emissions(sections: DataFrame, config: EngineConfig) -> DataFrame:
     """``(doc_id, kind, base, cap)``: everything the rules emit. ``cap`` is null where the case is kept as it is."""
-    numbers = number_matches(sections).where("rule is not null").select("doc_id", "kind", F.col("key").alias("base"), F.lit(None).cast("boolean").alias("cap"))
+    numeric = sections.where(F.col("clean").rlike(r"\d"))
+    numbers = number_matches(numeric).where("rule is not null").select("doc_id", "kind", F.col("key").alias("base"), F.lit(None).cast("boolean").alias("cap"))
     numbers = numbers.where((F.col("kind") == "number") | accepted(F.col("base")))
-    joined = sections.select("doc_id", pinned(hyphened(F.col("tokens"))).alias("h")).select("doc_id", F.explode("h").alias("base")).select(
-        "doc_id", F.lit("term").alias("kind"), "base", F.lit(None).cast("boolean").alias("cap")
-    )
-    ws = sections.select("doc_id", words(F.col("tokens")).alias("ws"))
-    emitted = ws.select("doc_id", pinned(word_emissions(F.col("ws"), config.stop_words)).alias("e"))
-    own = emitted.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.*")
-    return numbers.unionByName(joined).unionByName(own)
+    found = sections.select("doc_id", "clean", pinned(pairs(F.col("clean"))).alias("_pairs"))
+    found = found.select("doc_id", pinned(items(F.col("clean"), F.col("_pairs"), config.stop_words)).alias("_items"))
+    own = emitted(found.select("doc_id", F.explode("_items").alias("_item")), "_item", config.stop_words)
+    return numbers.unionByName(own)
 
 
 def doc_terms(sections: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

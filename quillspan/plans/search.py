@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspan.config import EngineConfig
 from quillspan.functions import lexicon as L
-from quillspan.functions.text import accepted, is_upper, java_hash, skipped
+from quillspan.functions.text import accepted, hyphened, is_upper, java_hash, skipped
 from quillspan.functions.text import clean as clean_text_of
 from quillspan.operators import bags as B
 from quillspan.operators import index as I
@@ -113,7 +113,7 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def hyphen_terms(spark: SparkSession, d: str) -> DataFrame:
-    terms = F.explode(B.hyphened(F.col("tokens"))).alias("term")
+    terms = F.explode(hyphened(F.col("clean"))).alias("term")
     return _sections(spark, d).select("doc_id", terms).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 

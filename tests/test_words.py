@@ -1,6 +1,7 @@
 import re
 
 from quillspan.config import EngineConfig
+from quillspan.functions import text
 from quillspan.functions.porter import stem
 from quillspan.functions.text import java_hash
 from quillspan.operators import bags as B
@@ -86,6 +87,17 @@ def test_greedy_pairing_equals_a_scan(spark):
         assert sorted(k for k, n in entities.items() for _ in range(n)) == scan(t), t
 
 
+def test_pairs_at_once_equal_pairs_one_by_one(spark, monkeypatch):
+    import random
+
+    draw = random.Random(6)
+    parts = ["John", "Smith", "said", "The", "X-Ray", "Ab-", "Anglo-Saxon-", "a", "May", "Million", "K", "km", "Ab.", "Ab/Cd", "$Cd", "Éau", "Smithé", "Aé-B", "7", "7K", "3D", ",", "", "--", "Zu>", "O_N", "ÀB", "B٣", "a-b--C-d"]
+    texts = [draw.choice([" ", "  "]).join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    fast = bags(spark, texts)
+    monkeypatch.setattr(text, "IRREGULAR", "TEXT")  # stands in every section
+    assert fast == bags(spark, texts)
+
+
 def test_java_hash(spark):
     df = spark.createDataFrame([("hello world",), ("",), ("a",)], "t string")
     assert [r[0] for r in df.select(java_hash(df.t)).collect()] == [1794106052, 0, 97]
