@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import lexicon as L
 from quillspan.functions.plan import pinned
-from quillspan.functions.text import is_number, numeric_contexts, stripped
+from quillspan.functions.text import numeric_contexts
 
 
-def lookup(table: dict, key: Column) -> Column:
-    """The table's value for ``key``, or null."""
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.create_map(*entries)[key]
+def lookup(table: dict, key: str) -> str:
+    """SQL for the table's value of the column ``key``, or null."""
+    values = [f"'{v}'" if isinstance(v, str) else f"{v!r}D" for v in table.values()]
+    return "map(" + ", ".join(f"'{k}', {v}" for k, v in zip(table, values)) + f")[{key}]"
+
+
+def _among(column: str, words: tuple[str, ...]) -> str:
+    return f"{column} in (" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _number(text: str) -> str:
+    return f"({text}) rlike r'{L.IS_NUMBER}'"
 
 
 def number_string(v: Column) -> Column:
@@ -32,97 +40,64 @@ def matches(sections: DataFrame, *keep: str) -> DataFrame:
     """
     found = sections.select(*keep, pinned(numeric_contexts(F.col("tokens"))).alias("c"))
     ctx = found.select(*keep, F.explode("c").alias("c")).select(*keep, "c.*")
-    nums = F.regexp_extract_all("tok", F.lit(L.NUMERIC), F.lit(0))
-    gaps = F.split("tok", L.NUMERIC, -1)
-    size = lambda xs: F.aggregate(F.transform(xs, F.length), F.lit(0), lambda a, x: a + x)
-    each = ctx.select("*", gaps.alias("_gaps"), F.posexplode(nums).alias("nth", "num"))
-    start = size(F.slice("_gaps", F.lit(1), F.col("nth") + 1)) + size(F.slice(nums, F.lit(1), F.col("nth")))
-    each = each.withColumn("_start", start)
-    prefix = F.substr("tok", F.lit(1), F.col("_start"))
-    suffix = F.substr("tok", F.col("_start") + F.length("num") + 1, F.length("tok"))
-    each = each.withColumns({"_prefix": prefix, "_suffix": suffix})
-    own = F.col("_suffix") != ""
-    first = F.when(own, F.col("_suffix")).otherwise(F.col("t1"))
-    second = F.when(own, F.col("t1")).otherwise(F.col("t2"))
-    third = F.when(own, F.col("t2")).otherwise(F.col("t3"))
-    n1, n2 = stripped(first), stripped(second)
-    return each.select(
-        *keep, "at", "nth", "num",
-        F.when(F.col("_prefix") != "", F.col("_prefix")).otherwise(F.col("before")).alias("prev"),
-        n1.alias("next"),
-        F.when(n1 != first, "").otherwise(n2).alias("next2"),
-        F.when((n1 != first) | (n2 != second), "").otherwise(stripped(third)).alias("next3"),
+    nums, gaps = f"regexp_extract_all(tok, r'{L.NUMERIC}', 0)", f"split(tok, r'{L.NUMERIC}', -1)"
+    each = ctx.selectExpr("*", f"{gaps} as _gaps", f"posexplode({nums}) as (nth, num)")
+    size = lambda xs: f"length(array_join({xs}, ''))"
+    each = each.selectExpr("*", f"{size('slice(_gaps, 1, nth + 1)')} + {size(f'slice({nums}, 1, nth)')} as _start")
+    each = each.selectExpr("*", "substr(tok, 1, _start) as _prefix", "substr(tok, _start + length(num) + 1, length(tok)) as _suffix")
+    cut = lambda x: f"regexp_replace({x}, r'{L.STOP_CHARS}', '')"
+    each = each.selectExpr(
+        *keep, "at", "nth", "num", "if(_prefix <> '', _prefix, before) as prev", "if(_suffix <> '', _suffix, t1) as _1",
+        "if(_suffix <> '', t1, t2) as _2", "if(_suffix <> '', t2, t3) as _3",
+    ).selectExpr("*", f"{cut('_1')} as next", f"{cut('_2')} as _next2")
+    return each.selectExpr(
+        *keep, "at", "nth", "num", "prev", "next", "if(next <> _1, '', _next2) as next2",
+        f"if(next <> _1 or _next2 <> _2, '', {cut('_3')}) as next3",
     )
 
 
-def _value(text: Column) -> Column:
-    return F.regexp_replace(text, ",", "").cast("double")
-
-
 def classified(found: DataFrame) -> DataFrame:
     """Adds ``rule``, ``kind`` and ``key`` to :func:`matches`; all null for parts of a fraction that give nothing.
 
     A numerator speaks for its fraction, whose whole part is always 0: the expression after the
     fraction takes the place of the next one. Every step is a column of its own, so that generated code stays small.
     """
-    c = F.col
-    slash = F.instr("next", "/")
-    after_slash = F.substr("next", slash + 1, F.length("next"))
-    inner = F.substr("prev", F.lit(1), F.length("prev") - 1)
-    df = found.withColumns({
-        "_part": (slash == 1) & is_number(after_slash),
-        "_swallowed": ((F.length("prev") > 0) & (F.instr("prev", "/") == F.length("prev")) & is_number(inner))
-        | ((slash > 1) & is_number(F.substr("next", F.lit(1), slash - 1)) & is_number(after_slash)),
-    })
-    df = df.withColumns({
-        "_follow": F.when(c("_part"), c("next2")).otherwise(c("next")),
-        "_beyond": F.when(c("_part"), c("next3")).otherwise(c("next2")),
-        "_text": F.when(c("_part"), F.concat(F.lit("0 "), c("num"), c("next"))).otherwise(c("num")),
-        "_above": _value(c("num")),
-        "_below": F.when(c("_part"), _value(F.substr("next", F.lit(2), F.length("next")))).otherwise(1.0),
-    })
-    ratio = F.when(c("_below") != 0, F.try_divide("_above", "_below")).when(c("_above") == 0, float("nan")).otherwise(float("inf"))
-    df = df.withColumns({"_times": lookup(L.POSTFIXES, c("_follow")), "_ratio": ratio})
-    df = df.withColumns({
-        "_value": c("_ratio") * F.coalesce("_times", F.lit(1.0)),
-        "_after": F.when(c("_times").isNotNull(), c("_beyond")).otherwise(c("_follow")),
-        "_distance": lookup(L.DISTANCES, c("_follow")),
-        "_weight": lookup(L.WEIGHTS, c("_follow")),
-        "_month": F.when(~c("_part") & ((F.length("num") <= 2) | (F.length("num") == 4)), F.coalesce(lookup(L.MONTHS, c("prev")), lookup(L.MONTHS, c("next")))),
-    })
-    percent = c("_after").isin(*L.PERCENTS)
-    dollars = c("_after").isin(*L.DOLLARS) | c("prev").isin(*L.DOLLARS)
-    between = ~c("_part") & c("prev").isin(*L.BETWEEN) & c("next").isin(*L.AND) & is_number(c("next2"))
-    rule = (
-        F.when(~c("_part") & c("_swallowed"), None)
-        .when(c("_month").isNotNull(), "date")
-        .when(c("_part") & dollars, "dollars")  # prices go before percentages for fractions, after them else
-        .when(percent, "percent")
-        .when(dollars, "dollars")
-        .when(c("_distance").isNotNull(), "distance")
-        .when(c("_weight").isNotNull(), "weight")
-        .when(between, "between")
-        .when(c("_part"), "fraction")
-        .otherwise("plain")
+    value = lambda text: f"cast(replace({text}, ',', '') as double)"
+    df = found.selectExpr("*", "instr(next, '/') as _slash").selectExpr(
+        "*",
+        f"_slash = 1 and {_number('substr(next, 2)')} as _part",
+        f"(length(prev) > 0 and instr(prev, '/') = length(prev) and {_number('substr(prev, 1, length(prev) - 1)')})"
+        f" or (_slash > 1 and {_number('substr(next, 1, _slash - 1)')} and {_number('substr(next, _slash + 1)')}) as _swallowed",
+    ).selectExpr(
+        "*", "if(_part, next2, next) as _follow", "if(_part, next3, next2) as _beyond", "if(_part, concat('0 ', num, next), num) as _text",
+        f"{value('num')} as _above", f"if(_part, {value('substr(next, 2)')}, 1.0D) as _below",
+    ).selectExpr(
+        "*", f"{lookup(L.POSTFIXES, '_follow')} as _times",
+        "case when _below <> 0 then try_divide(_above, _below) when _above = 0 then double('nan') else double('infinity') end as _ratio",
+    ).selectExpr(
+        "*", "_ratio * coalesce(_times, 1.0D) as _value", "if(_times is not null, _beyond, _follow) as _after",
+        f"{lookup(L.DISTANCES, '_follow')} as _distance", f"{lookup(L.WEIGHTS, '_follow')} as _weight",
+        f"case when not _part and (length(num) <= 2 or length(num) = 4) then coalesce({lookup(L.MONTHS, 'prev')}, {lookup(L.MONTHS, 'next')}) end as _month",
     )
-    df = df.withColumn("rule", pinned(rule))
-    scale = (
-        F.when((c("rule") == "dollars") & (c("_value") > 1e6), 1e6)
-        .when(~c("rule").isin("plain", "fraction") | F.isnan("_value"), 1.0)
-        .when(c("_value") >= 1e9, 1e9).when(c("_value") >= 1e6, 1e6).when(c("_value") >= 1e3, 1e3).otherwise(1.0)
+    dollars = f"({_among('_after', L.DOLLARS)} or {_among('prev', L.DOLLARS)})"
+    between = f"not _part and {_among('prev', L.BETWEEN)} and {_among('next', L.AND)} and {_number('next2')}"
+    # Prices go before percentages for fractions, after them else.
+    rule = F.expr(
+        f"""case when not _part and _swallowed then null when _month is not null then 'date' when _part and {dollars} then 'dollars'
+          when {_among('_after', L.PERCENTS)} then 'percent' when {dollars} then 'dollars' when _distance is not null then 'distance'
+          when _weight is not null then 'weight' when {between} then 'between' when _part then 'fraction' else 'plain' end"""
     )
-    df = df.withColumn("_scale", scale).withColumn("_shown", number_string(c("_value") / c("_scale")))
-    letter = F.when(c("_scale") == 1e9, "B").when(c("_scale") == 1e6, "M").when(c("_scale") == 1e3, "K")
-    key = (
-        F.when(c("rule") == "date", F.when(F.length("num") <= 2, F.concat_ws("-", "_month", F.lpad("num", 2, "0"))).otherwise(F.concat_ws("-", "num", "_month")))
-        .when(c("rule") == "percent", F.concat("_shown", F.lit("%")))
-        .when((c("rule") == "dollars") & (c("_scale") > 1), F.concat("_shown", F.lit(" M Dollars")))
-        .when(c("rule") == "dollars", F.concat("_text", F.lit(" Dollars")))
-        .when(c("rule").isin("distance", "weight"), F.concat_ws(" ", "_shown", F.coalesce("_distance", "_weight")))
-        .when(c("rule") == "between", F.concat_ws("-", "num", "next2"))
-        .when(letter.isNotNull(), F.concat("_shown", letter))
-        .when(c("rule") == "fraction", c("_text"))
-        .when(c("rule") == "plain", c("_shown"))
+    df = df.withColumn("rule", pinned(rule)).selectExpr(
+        "*",
+        """case when rule = 'dollars' and _value > 1e6 then 1e6D when rule not in ('plain', 'fraction') or isnan(_value) then 1.0D
+          when _value >= 1e9D then 1e9D when _value >= 1e6D then 1e6D when _value >= 1e3D then 1e3D else 1.0D end as _scale""",
     )
-    kind = F.when(c("rule") == "between", "term").when(c("rule").isNotNull(), "number")
-    return df.select(*found.columns, "rule", kind.alias("kind"), key.alias("key"))
+    df = df.withColumn("_shown", number_string(F.expr("_value / _scale")))
+    key = """case
+      when rule = 'date' then if(length(num) <= 2, concat_ws('-', _month, lpad(num, 2, '0')), concat_ws('-', num, _month))
+      when rule = 'percent' then concat(_shown, '%') when rule = 'dollars' and _scale > 1 then concat(_shown, ' M Dollars')
+      when rule = 'dollars' then concat(_text, ' Dollars') when rule in ('distance', 'weight') then concat_ws(' ', _shown, coalesce(_distance, _weight))
+      when rule = 'between' then concat_ws('-', num, next2) when _scale = 1e9D then concat(_shown, 'B') when _scale = 1e6D then concat(_shown, 'M')
+      when _scale = 1e3D then concat(_shown, 'K') when rule = 'fraction' then _text when rule = 'plain' then _shown end as key"""
+    kind = "case when rule = 'between' then 'term' when rule is not null then 'number' end as kind"
+    return df.selectExpr(*(f"`{c}`" for c in found.columns), "rule", kind, key)

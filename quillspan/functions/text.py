@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,6 @@ def tokens(text: Column) -> Column:
     return F.split(text, " ", -1)
 
 
-def stripped(c: Column) -> Column:
-    """Without trailing stop characters."""
-    return F.regexp_replace(c, L.STOP_CHARS, "")
-
-
 def is_number(c: Column) -> Column:
     return c.rlike(L.IS_NUMBER)
 
@@ -41,9 +37,20 @@ def java_hash(text: Column) -> Column:
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
 
 
+def among(w: Column, words: Iterable[str]) -> Column:
+    """Whether ``w`` is one of the words; one pattern, where a literal per word would make plans that take seconds to build."""
+    return w.rlike(f"^(?:{'|'.join(map(re.escape, words))})$") if words else F.lit(False)
+
+
+def listed(column: str, words: Iterable[str]) -> Column:
+    """The same for a named column, as a hashed set of compiled code."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"`{column}` in ({quoted})") if quoted else F.lit(False)
+
+
 def skipped(w: Column) -> Column:
     """Words that the number rules own: postfixes, money, months, percent, distance, weight, numbers."""
-    return w.isin(_skipped_names()) | is_number(w)
+    return among(w, _skipped_names()) | is_number(w)
 
 
 def accepted(w: Column) -> Column:
@@ -88,7 +95,7 @@ def word_emissions(ws: Column, stop_words: Sequence[str]) -> Column:
 
     def usable(w: Column, capital: bool) -> Column:
         test = F.lower(w) if capital else w
-        return (~test.isin(stop) if stop else F.lit(True)) & accepted(w)
+        return ~among(test, stop) & accepted(w)
 
     nothing = F.array().cast("array<struct<kind:string,base:string,cap:boolean>>")
 
@@ -149,7 +156,7 @@ def items(text: Column, paired: Column, stop_words: Sequence[str]) -> Column:
     """
     stop = list(stop_words)
     second = lambda p: F.substring_index(p, " ", -1)
-    taken = F.filter(paired, lambda p: second(p).isin(_skipped_names()) & ~F.lower(second(p)).isin(stop) & accepted(second(p)))
+    taken = F.filter(paired, lambda p: among(second(p), _skipped_names()) & ~among(F.lower(second(p)), stop) & accepted(second(p)))
     regular = F.concat(F.regexp_extract_all(text, F.lit(L.WORD), F.lit(0)), paired, F.transform(taken, lambda p: F.concat(F.lit(CAPITAL), F.lower(second(p)))))
     one_by_one = F.transform(
         word_emissions(words(tokens(text)), stop_words),
@@ -167,9 +174,9 @@ def emitted(items_: DataFrame, item: str, stop_words: Sequence[str]) -> DataFram
     first = F.ascii(s)
     rows = items_.select("doc_id", s, F.when(first < 3, "tested").when(s.contains(" "), "pair").when(s.contains("-"), "hyphen").alias("_what"),
                          first.between(48, 57).alias("_digit"), first.between(65, 90).alias("_capital"))
-    stop = F.when(F.col("_capital"), F.lower(s)).otherwise(s).isin(list(stop_words)) if stop_words else F.lit(False)
+    rows = rows.withColumn("_test", F.when(F.col("_capital"), F.lower(s)).otherwise(s))
     number = F.col("_digit") & (is_number(s) | s.rlike(L.WORD_NUMBER))
-    word = (F.length(s) >= 2) & ~stop & ~s.isin(_skipped_names()) & ~number
+    word = (F.length(s) >= 2) & ~listed("_test", stop_words) & ~listed(item, _skipped_names()) & ~number
     rows = rows.where(F.col("_what").isNotNull() | word)
     what = F.col("_what")
     base = (

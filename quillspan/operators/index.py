@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,22 +47,22 @@ def entities_dictionary(bags: DataFrame, observed: bool = True) -> DataFrame:
     return seen.select("key", F.lit("entity").alias("kind"), tf.alias("tf"), df.alias("df"), "first_doc")
 
 
-def dictionary(bags: DataFrame, observed: bool = True) -> DataFrame:
-    """``(key, kind, tf, df)`` of all kinds."""
-    entities = entities_dictionary(bags, observed).drop("first_doc")
+def dictionary(bags: DataFrame, observed: bool = True, entities: DataFrame | None = None) -> DataFrame:
+    """``(key, kind, tf, df)`` of all kinds; ``entities`` as :func:`entities_dictionary` gives them, where they are made already."""
+    entities = (entities_dictionary(bags, observed) if entities is None else entities).drop("first_doc")
     return terms_dictionary(bags).unionByName(numbers_dictionary(bags)).unionByName(entities)
 
 
-def entity_bags(bags: DataFrame, observed: bool = True) -> DataFrame:
+def entity_bags(bags: DataFrame, observed: bool = True, entities: DataFrame | None = None) -> DataFrame:
     """The entity rows that reach the postings: of entities in the dictionary, observed without each one's first document."""
-    known = entities_dictionary(bags, observed).select("key", "first_doc")
+    known = (entities_dictionary(bags, observed) if entities is None else entities).select("key", "first_doc")
     rows = bags.where("kind = 'entity'").join(known, "key")
     return (rows.where("doc_id <> first_doc") if observed else rows).select("doc_id", "kind", "key", "tf")
 
 
-def postings(bags: DataFrame, observed: bool = True) -> DataFrame:
+def postings(bags: DataFrame, observed: bool = True, entities: DataFrame | None = None) -> DataFrame:
     """``(term, doc_id, tf)`` with the term in small letters."""
-    rows = bags.where("kind <> 'entity'").select("doc_id", "kind", "key", "tf").unionByName(entity_bags(bags, observed))
+    rows = bags.where("kind <> 'entity'").select("doc_id", "kind", "key", "tf").unionByName(entity_bags(bags, observed, entities))
     return rows.groupBy(F.lower("key").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
 
 
@@ -71,7 +71,7 @@ def with_lengths(posted: DataFrame, doc_map: DataFrame) -> DataFrame:
     return posted if "length" in posted.columns else posted.join(doc_map.select("doc_id", "length"), "doc_id").select("term", "doc_id", "tf", "length")
 
 
-def document_map(bags: DataFrame, docs: DataFrame, name: str = "docno", observed: bool = True) -> DataFrame:
+def document_map(bags: DataFrame, docs: DataFrame, name: str = "docno", observed: bool = True, entities: DataFrame | None = None) -> DataFrame:
     """``(doc_id, name, max_tf, length, dominant_entities)``; documents without any text count with length 0.
 
     The five entities with the highest tf that reach the postings, equal tf by name descending; kept
@@ -79,7 +79,7 @@ def document_map(bags: DataFrame, docs: DataFrame, name: str = "docno", observed
     """
     sizes = bags.groupBy("doc_id").agg(F.max("tf").alias("_max"), F.sum("tf").alias("_length"))
     pair = F.struct("tf", F.col("key").alias("entity"))
-    top = entity_bags(bags, observed).groupBy("doc_id").agg(InternalFunction.collect_top_k(pair, DOMINANT, False).alias("_top"))
+    top = entity_bags(bags, observed, entities).groupBy("doc_id").agg(InternalFunction.collect_top_k(pair, DOMINANT, False).alias("_top"))
     ordered = F.transform("_top", lambda x: F.struct(x["entity"].alias("entity"), x["tf"].alias("tf")))
     empty = F.array().cast("array<struct<entity:string,tf:bigint>>")
     return docs.select("doc_id", F.trim(F.col(name)).alias("name")).join(sizes, "doc_id", "left").join(
@@ -123,27 +123,41 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 @dataclass
 class Index:
-    """The tables of an index."""
+    """The tables of an index, and the seconds that each took where they were made here."""
 
     doc_terms: DataFrame
     dictionary: DataFrame
     postings: DataFrame
     document_map: DataFrame
     config: EngineConfig
+    seconds: dict[str, float] = field(default_factory=dict)
 
     TABLES = ("doc_terms", "dictionary", "postings", "document_map")
 
     @classmethod
     def build(cls, sections: DataFrame, docs: DataFrame, config: EngineConfig = EngineConfig(), name: str = "docno") -> Index:
         """Index of ``sections``; the bags, from which all tables come, are made once and written."""
-        with timed("bags"):
+        with timed("bags") as took:
             bags = written(doc_terms(sections, config), "doc-terms")
-        return cls.of_bags(bags, docs, config, name)
+        index = cls.of_bags(bags, docs, config, name)
+        index.seconds["bags"] = took[0]
+        return index
 
     @classmethod
     def of_bags(cls, bags: DataFrame, docs: DataFrame, config: EngineConfig = EngineConfig(), name: str = "docno") -> Index:
-        o = config.observed
-        return cls(bags, dictionary(bags, o), postings(bags, o), document_map(bags, docs, name, o), config)
+        """Index of bags that are made; each of its tables is written once, and postings carry their document's length."""
+        o, seconds = config.observed, {}
+
+        def made(df: DataFrame, what: str) -> DataFrame:
+            with timed(what) as took:
+                table = written(df, what.replace(" ", "-"))
+            seconds[what] = took[0]
+            return table
+
+        entities = made(entities_dictionary(bags, o), "entities")
+        doc_map = made(document_map(bags, docs, name, o, entities), "document map")
+        posted = made(with_lengths(postings(bags, o, entities), doc_map), "postings")
+        return cls(bags, made(dictionary(bags, o, entities), "dictionary"), posted, doc_map, config, seconds)
 
     def save(self) -> None:
         """Writes the tables under ``config.place``.

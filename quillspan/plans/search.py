@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.config import EngineConfig
 from quillspan.functions import lexicon as L
-from quillspan.functions.text import accepted, hyphened, is_upper, java_hash, skipped
+from quillspan.functions.text import accepted, hyphened, is_upper, listed, java_hash, skipped
 from quillspan.functions.text import clean as clean_text_of
 from quillspan.operators import bags as B
 from quillspan.operators import index as I
@@ -23,7 +23,7 @@ from quillspan.operators import search as S
 from quillspan.operators import synonyms as Y
 from quillspan.plans.topics import TOPICS
 from quillspan.sources import corpus as C
-from quillspan.runtime import kept_path, ship, spread, written
+from quillspan.runtime import kept_path, numbered, ship, spread, written
 from quillspan.sources import sinks as K
 
 PLAIN = EngineConfig()
@@ -155,7 +155,7 @@ def number_terms(spark: SparkSession, d: str) -> DataFrame:
 def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
     w = F.col("word")
     tested = F.when(is_upper(w), F.lower(w)).otherwise(w)
-    return word_tokens(spark, d).where(~tested.isin(list(L.STOP_WORDS)))
+    return word_tokens(spark, d).withColumn("_t", tested).where(~listed("_t", L.STOP_WORDS)).drop("_t")
 
 
 @_query
@@ -286,8 +286,7 @@ def dominant_entities(spark: SparkSession, d: str) -> DataFrame:
 def _vectors(spark: SparkSession, d: str, bags: DataFrame) -> DataFrame:
     """``(vec_id, word, vector)``: as many of the most frequent terms as there are vectors."""
     vectors = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    terms = I.terms_dictionary(bags).orderBy(F.desc("tf"), "key").limit(vectors.count())
-    ranked = terms.select("key", (F.row_number().over(Window.orderBy(F.desc("tf"), "key")) - 1).alias("vec_id"))
+    ranked = numbered(I.terms_dictionary(bags).select("key", "tf"), F.desc("tf"), "key").withColumnRenamed("_rank", "vec_id")
     return ranked.join(vectors, "vec_id").select("vec_id", F.lower("key").alias("word"), "vector")
 
 

@@ -12,7 +12,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 log = logging.getLogger("quillspan")
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -47,15 +48,17 @@ def ship(spark: SparkSession) -> None:
 
 
 @contextmanager
-def timed(what: str) -> Iterator[None]:
-    """Logs the seconds that a step took, or that it failed."""
+def timed(what: str) -> Iterator[list[float]]:
+    """Logs the seconds that a step took, or that it failed; the list given holds them afterwards."""
     began = time.perf_counter()
+    took: list[float] = []
     try:
-        yield
+        yield took
     except BaseException:
         log.error("%s failed after %.1f s", what, time.perf_counter() - began)
         raise
-    log.info("%s: %.1f s", what, time.perf_counter() - began)
+    took.append(time.perf_counter() - began)
+    log.info("%s: %.1f s", what, took[0])
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -87,6 +90,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds ``_rank``, from 0, in an order that must be total.
+
+    Range partitions are written with their number, rows ranked inside, and the counts of the partitions before added: no task sees more
+    than one partition, and what is summed up has a row per partition.
+    """
+    cut = written(df.repartitionByRange(*order).withColumn("_at", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("_at").agg(F.count(F.lit(1)).alias("_m")).select("_at", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_at").orderBy(*order)) - 1
+    return cut.withColumn("_n", inside).join(counts, "_at").withColumn("_rank", F.col("_before") + F.col("_n")).drop("_at", "_n", "_before")
+
+
 def remove_written() -> None:
     """Delete the tables made by :func:`written` in this process."""
     while _written:

@@ -61,6 +61,15 @@ def test_scores(spark, config, score):
     assert got[0].score == pytest.approx(score, abs=1e-6)
 
 
+def test_scores_without_broadcast(spark, monkeypatch):
+    index = _index(spark, EngineConfig(stop_words=()))
+    asked = spark.createDataFrame([(1, "fish pond rock"), (2, "sand rock rock")], "query_id long, text string")
+    small = sorted(S.scores(S.query_terms(asked, index), index).collect())
+    assert [(r.query_id, r.doc_id) for r in small] == [(1, 1), (1, 2), (2, 2), (2, 3)]
+    monkeypatch.setattr(S, "BROADCAST_WEIGHTS", 0)
+    assert small == sorted(S.scores(S.query_terms(asked, index), index).collect())
+
+
 def test_free_text(spark):
     q = S.hashed_queries(spark.createDataFrame([("fish",), ("fish",), ("the",)], "text string"))
     ranked = S.search(q, _index(spark, EngineConfig()))
