@@ -140,35 +140,59 @@ def _agree(a: str, b: str) -> int:
     return lo
 
 
-_RUNS = "doc_id_a long, start_a int, doc_id_b long, start_b int, length int"
+_PAIRS = "doc_id_a long, doc_id_b long"
+_COVERED = "doc_id long, start int, length int, repeated boolean"
 
 
-def _compared(least: int, k: int):
-    """Compares the occurrences of every anchor; the stretch must be sorted by hash."""
+def _compared(least: int, k: int, covered: bool):
+    """Compares the occurrences of every anchor; the stretch must be sorted by hash.
 
-    def runs(group: list[tuple]) -> Iterator[tuple]:
+    Occurrences of the same surroundings are one class, and classes are compared. Gives the pairs of documents or, ``covered``, what is
+    shared around each occurrence, without pairs: all runs of an occurrence hold its anchor, so together they are one stretch, and whether an
+    earlier or later document has part in a class shows in its smallest and greatest doc_id. At most two rows per occurrence.
+    """
+
+    def classes_of(group: list[tuple]) -> list[tuple[tuple[str, str], list[tuple[int, int]]]]:
         own: dict[tuple[str, str], list[tuple[int, int]]] = {}
         for doc, pos, left, right in group:
             own.setdefault((left[::-1], right), []).append((doc, pos))
-        classes = list(own.items())
+        return list(own.items())
+
+    def pairs(group: list[tuple]) -> Iterator[tuple]:
+        classes = [(around, sorted({doc for doc, _ in own})) for around, own in classes_of(group)]
+        seen: set[tuple[int, int]] = set()
         for i, ((left, right), docs) in enumerate(classes):
             for (left2, right2), docs2 in classes[i:]:
+                if _agree(left, left2) + k + _agree(right, right2) >= least:
+                    seen.update((x, y) if x < y else (y, x) for x in docs for y in docs2 if x != y)
+        yield from seen
+
+    def stretches_of(group: list[tuple]) -> Iterator[tuple]:
+        classes = classes_of(group)
+        ends = [(min(own)[0], max(own)[0]) for _, own in classes]
+        reach: dict[tuple[int, int, bool], tuple[int, int]] = {}
+        for i, ((left, right), own) in enumerate(classes):
+            for j, ((left2, right2), _) in enumerate(classes):
                 back, on = _agree(left, left2), _agree(right, right2)
                 if back + k + on < least:
                     continue
-                for x in docs:
-                    for y in docs2:
-                        if x[0] != y[0] and (docs is not docs2 or x[0] < y[0]):
-                            (a, p), (b, q) = (x, y) if x[0] < y[0] else (y, x)
-                            yield a, p - back, b, q - back, back + k + on
+                for doc, pos in own:
+                    for repeated, has_part in ((True, ends[j][0] < doc), (False, ends[j][1] > doc)):
+                        if has_part:
+                            b, o = reach.get((doc, pos, repeated), (0, 0))
+                            reach[doc, pos, repeated] = max(b, back), max(o, on)
+        for (doc, pos, repeated), (back, on) in reach.items():
+            yield doc, pos - back, back + k + on, repeated
+
+    runs = stretches_of if covered else pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id_a", "start_a", "doc_id_b", "start_b", "length"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["doc_id", "start", "length", "repeated"] if covered else ["doc_id_a", "doc_id_b"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()] if covered else [pa.int64(), pa.int64()]
         out: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            cols = list(zip(*out)) if out else [[]] * 5
+            cols = list(zip(*out)) if out else [[]] * len(names)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
@@ -225,8 +249,8 @@ class SharedSpans:
     2. The text around each shared anchor, as far as a run of ``least`` characters can reach, is
        taken from the whole text (documents without shared anchor drop out in the join).
     3. Exact check: occurrences of an anchor are compared character by character. Anchors with
-       more than ``compared`` occurrences take another way, as exact: all their windows of ``least``
-       characters are hashed (128 bits) and grouped, so no task holds a hot group.
+       more than ``compared`` occurrences take another way, exact but for collisions of 128-bit hashes: all their windows of ``least``
+       characters are hashed and grouped, so no task holds a hot group.
 
     Null texts and texts shorter than ``least`` share nothing. Several spans of a pair, overlapping spans
     and spans repeated inside a document are all found; a repetition within one document only is not shared.
@@ -247,18 +271,30 @@ class SharedSpans:
             texts.join(own, "doc_id").select("doc_id", "text", "own").mapInArrow(_contexts(least, k, compared), _CONTEXT), "contexts"
         )
         some = around.where(F.col("n") <= compared).repartition("hash").sortWithinPartitions("hash")
-        self.runs = some.select("hash", "doc_id", "pos", "left", "right").mapInArrow(_compared(least, k), _RUNS)
+        some = some.select("hash", "doc_id", "pos", "left", "right")
+        self._pairs = some.mapInArrow(_compared(least, k, False), _PAIRS)
+        self._covered = some.mapInArrow(_compared(least, k, True), _COVERED)
         hot = around.where(F.col("n") > compared).select("doc_id", "pos", "left", "middle", "right")
         windows = hot.mapInArrow(_windows(least), _WINDOWS).distinct()
         both = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
         self.windows = windows.join(both, ["w1", "w2"]).select("w1", "w2", "doc_id", "start", F.col("_a").alias("first"))
 
     def pairs(self) -> DataFrame:
-        """``(doc_id_a, doc_id_b)``, doc_id_a < doc_id_b: every pair that shares a span. As many rows as there are such pairs."""
-        a = self.windows.select("w1", "w2", F.col("doc_id").alias("doc_id_a"))
-        b = self.windows.select("w1", "w2", F.col("doc_id").alias("doc_id_b"))
+        """``(doc_id_a, doc_id_b)``, doc_id_a < doc_id_b: every pair that shares a span. As many rows as there are such pairs.
+
+        A passage gives as many windows as it has characters beyond ``least``, nearly all in the same documents. Of windows with the same
+        set of documents (their number and 128 bits of the xor of their hashes) one is kept, so a set is paired once.
+        """
+        held = written(self.windows.select("w1", "w2", "doc_id").distinct(), "windows")
+        sets = held.groupBy("w1", "w2").agg(
+            F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("doc_id")).alias("_x"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("_y")
+        )
+        kept = sets.groupBy("_n", "_x", "_y").agg(F.min(F.struct("w1", "w2")).alias("_w")).select("_w.w1", "_w.w2")
+        once = held.join(kept, ["w1", "w2"])
+        a = once.select("w1", "w2", F.col("doc_id").alias("doc_id_a"))
+        b = once.select("w1", "w2", F.col("doc_id").alias("doc_id_b"))
         far = a.join(b, ["w1", "w2"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
-        return self.runs.select("doc_id_a", "doc_id_b").unionByName(far).distinct()
+        return self._pairs.unionByName(far).distinct()
 
     def spans(self) -> DataFrame:
         """``(doc_id, start, length, repeated)``: the shared stretches of every document, disjoint, merged where they overlap or touch.
@@ -267,10 +303,8 @@ class SharedSpans:
         offsets; the others are the earliest occurrence, less what repeated stretches of the same document cover (so they may be
         shorter than ``least``). Both ways of comparing give the same rows.
         """
-        first = self.runs.select(F.col("doc_id_a").alias("doc_id"), F.col("start_a").alias("start"), "length", F.lit(False).alias("repeated"))
-        later = self.runs.select(F.col("doc_id_b").alias("doc_id"), F.col("start_b").alias("start"), "length", F.lit(True).alias("repeated"))
         far = self.windows.select("doc_id", "start", F.lit(self.least).alias("length"), (F.col("doc_id") > F.col("first")).alias("repeated"))
-        return stretches(first.unionByName(later).unionByName(far))
+        return stretches(self._covered.unionByName(far))
 
     def report(self) -> DataFrame:
         """``(doc_id, n_chars, shared_chars, repeated_chars, shared_part)``, one row per document; 0 where nothing is shared."""
@@ -292,8 +326,9 @@ def linked_classes(documents: DataFrame, least: int = LEAST, k: int = ANCHOR) ->
     """
     digests = documents.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.md5("text")).alias("_d"))
     known = digests.where("_d is not null")
-    classes = known.groupBy("_d").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("copies"))
-    member = known.distinct().join(classes, "_d").select("doc_id", "class_id", "copies")
+    known = known.distinct()
+    classes = written(known.groupBy("_d").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "text-classes")
+    member = known.join(classes, "_d").select("doc_id", "class_id", "copies")
     member = member.unionByName(digests.where("_d is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies")))
     member = written(member, "classes")
     firsts = classes.select(F.col("class_id").alias("doc_id"))

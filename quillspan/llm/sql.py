@@ -27,7 +27,49 @@ _MARKED = f"""
   SELECT term, tf, df, CASE WHEN df <= 2 THEN 'rare' WHEN 3 * df > (SELECT count(*) FROM documents_map) THEN 'common' END AS mark
   FROM (SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM {_TERMS} GROUP BY term)"""
 
+# Shared runs: every stretch of 200 characters of every text, grouped by its characters.
+_WINDOWS = """
+  w AS (SELECT doc_id, i, substring(text, i, 200) AS s FROM (
+    SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+  sh AS (SELECT s, min(doc_id) AS a FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+  x AS (SELECT doc_id, i - 1 AS i, s, doc_id > a AS again FROM w JOIN sh USING (s)),
+  p AS (SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT s, doc_id FROM x) a JOIN (SELECT DISTINCT s, doc_id FROM x) b USING (s)
+    WHERE a.doc_id < b.doc_id)"""
+
+
+def _islands(name: str, where: str) -> str:
+    return f"""
+  {name} AS (SELECT doc_id, min(i) AS i, max(i) + 200 AS j FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+    SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true)::INTEGER AS new FROM (SELECT DISTINCT doc_id, i FROM x WHERE {where}))) GROUP BY doc_id, g)"""
+
+
+_STRETCHES = f"""{_islands('every', 'true')}, {_islands('later', 'again')},
+  cuts AS (SELECT doc_id, i AS start FROM every UNION SELECT doc_id, j FROM every UNION SELECT doc_id, i FROM later UNION SELECT doc_id, j FROM later),
+  pieces AS (SELECT doc_id, start, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS stop FROM cuts),
+  spans AS (SELECT p.doc_id, start, stop - start AS length, l.doc_id IS NOT NULL AS repeated FROM pieces p
+    JOIN every e ON e.doc_id = p.doc_id AND e.i <= start AND stop <= e.j LEFT JOIN later l ON l.doc_id = p.doc_id AND l.i <= start AND stop <= l.j)"""
+
 ORACLE: dict[str, str] = {
+    "p10_found": f"WITH {_WINDOWS} SELECT * FROM p",
+    "p10_links": f"""WITH {_WINDOWS},
+      c AS (SELECT text, min(doc_id) AS class_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+      l AS (SELECT a AS class_id, count(*) AS n FROM (
+        SELECT doc_id_a AS a, doc_id_b AS b FROM p UNION ALL SELECT doc_id_b, doc_id_a FROM p) WHERE a IN (SELECT class_id FROM c) AND b IN (SELECT class_id FROM c) GROUP BY a)
+      SELECT doc_id, coalesce(c.class_id, doc_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(n, 0) AS n_links
+      FROM documents d LEFT JOIN c ON c.text = d.text LEFT JOIN l ON l.class_id = c.class_id""",
+    "p10_spans": f"WITH {_WINDOWS}, {_STRETCHES} SELECT doc_id, start::INTEGER AS start, length::INTEGER AS length, repeated FROM spans",
+    "p10_report": f"""WITH {_WINDOWS}, {_STRETCHES},
+      s AS (SELECT doc_id, sum(length)::BIGINT AS a, coalesce(sum(length) FILTER (repeated), 0)::BIGINT AS b FROM spans GROUP BY doc_id)
+      SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(a, 0) AS shared_chars, coalesce(b, 0) AS repeated_chars,
+        coalesce(coalesce(a, 0) / nullif(length(text), 0), 0.0)::DOUBLE AS shared_part FROM documents LEFT JOIN s USING (doc_id)""",
+    "p10_lines": r"""
+      WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+      o AS (SELECT doc_id, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(line) AS length,
+        trim(regexp_replace(lower(line), '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+', ' ', 'g')) AS unit FROM l),
+      u AS (SELECT *, md5(unit) AS digest FROM o WHERE length(unit) >= 40),
+      f AS (SELECT digest, min({'d': doc_id, 's': start}) AS first FROM u GROUP BY digest HAVING count(*) > 1)
+      SELECT doc_id, start, length, first.d AS first_doc_id, first.s AS first_start, NOT (doc_id = first.d AND start = first.s) AS repeated FROM u JOIN f USING (digest)""",
+
     "p1_found": f"SELECT doc_id, entity FROM {_TOP} WHERE r <= 5",
     "p1_document_map": f"""
       SELECT doc_id, name, max_tf, length, coalesce(l, '') AS dominant_entities
