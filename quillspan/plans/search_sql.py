@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspan.functions import lexicon as L
+from quillspan.plans.porter_sql import stems
 from quillspan.plans.topics import TOPICS
 
 
@@ -115,6 +116,14 @@ def chain(p: str, source: str) -> str:
       UNION ALL SELECT doc_id, 'number', key FROM {p}ruled WHERE rule <> 'between') GROUP BY doc_id, kind, key)"""
 
 
+def stemmed_chain(p: str, source: str) -> str:
+    """:func:`chain` with the words of each document counted by their stems; stems of one letter are left out."""
+    own = f"""{stems(f'{p}stem', f'{p}words')},
+  {p}stemmed AS (SELECT doc_id, stem AS base, cap FROM {p}words JOIN {p}stem ON word = base WHERE {_OK('stem')}),
+  {p}bags AS ("""
+    return chain(p, source).replace(f"{p}bags AS (", own).replace(f"FROM {p}words GROUP BY doc_id, base", f"FROM {p}stemmed GROUP BY doc_id, base")
+
+
 _DOCS = "SELECT doc_id, 0 AS sec, '<TEXT> ' || text || ' </TEXT>' AS body FROM documents WHERE text IS NOT NULL"
 _ASKED = "SELECT doc_id, 0 AS sec, '<TEXT>' || text || '</TEXT>' AS body FROM documents WHERE text IS NOT NULL AND doc_id % 100 = 0"
 _TAGGED = r"""SELECT doc_id, generate_subscripts(b, 1) AS sec, unnest(b) AS body FROM (
@@ -200,6 +209,9 @@ _TOPIC_TEXTS = r"""SELECT doc_id, 0 AS sec, '<TEXT>' || docno || regexp_replace(
   FROM documents WHERE text IS NOT NULL AND doc_id % 100 = 0"""
 _BM25_FILED = f"WITH {chain('', _FILED)}, {_index()}, {_ranked(_FIRST, _TERMS)}".replace(_ASKED, _TOPIC_TEXTS).replace(
     "FROM documents d LEFT JOIN", f"FROM (SELECT {_NUMBERED} AS doc_id, docno FROM documents) d LEFT JOIN")
+_STEMMED = f"WITH {stemmed_chain('', _DOCS)}"
+_BM25_STEMMED = f"{_STEMMED}, {_index()}, {_ranked(_FIRST, _TERMS)}".replace(chain('q', _ASKED), stemmed_chain('q', _ASKED)).replace(
+    "(2 * p.tf / (p.tf + 1 - 0.3 + 0.3 * length / avgdl))", "(1.4 * p.tf / (p.tf + 0.4 * (1 - 0.9 + 0.9 * length / avgdl)))")
 _END_TO_END = f"{_BM25_FILED} SELECT query_id || ' 0 ' || name || ' 10 9 mt' AS line FROM ranked JOIN dmap USING (doc_id)"
 
 ORACLE: dict[str, str] = {
@@ -267,4 +279,7 @@ ORACLE: dict[str, str] = {
       (SELECT sum(length)::BIGINT FROM dmap) AS total_len, (SELECT round(avg(length), 6) FROM dmap) AS avgdl""",
     "topics_parse": _TOPICS,
     "corpus_to_run": _END_TO_END,
+    "porter_stem": f"{_TEXT}, words_ AS (SELECT DISTINCT lower(key) AS base FROM bags WHERE kind = 'term'), {stems('stem_', 'words_')} SELECT word, stem FROM stem_",
+    "doc_term_bags_stemmed": f"{_STEMMED} SELECT doc_id, kind, key, tf FROM bags",
+    "bm25_stemmed": f"{_BM25_STEMMED} SELECT * FROM ranked",
 }
