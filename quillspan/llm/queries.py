@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import distinctive, frequency, markup, mixing, packing, spans, topn, wrappers
@@ -59,6 +59,30 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_t(spark, d, "documents"))
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for every document: all its tokens placed, without overlap, in containers that aren't overfull."""
+    places = packing.pack(_t(spark, d, "documents"))
+    before = Window.partitionBy("container").orderBy("offset")
+    clash = F.coalesce(F.lag(F.col("offset") + F.col("part_tokens")).over(before) > F.col("offset"), F.lit(False))
+    checked = places.withColumn("_wrong", F.when(F.col("container").isNotNull(), clash | (F.col("offset") + F.col("part_tokens") > packing.CAPACITY)))
+    return checked.groupBy("doc_id").agg(
+        F.max("n_tokens").alias("n_tokens"), F.max("n_parts").cast("long").alias("n_parts"), F.coalesce(F.sum("part_tokens"), F.lit(0)).alias("placed_tokens"),
+        F.coalesce(F.bool_or("_wrong"), F.lit(False)).alias("wrong"),
+    )
+
+
+def p9_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for every source: its target, and that it misses what it can reach by less than its largest document."""
+    documents = _t(spark, d, "documents")
+    _, report = mixing.mix(documents, _t(spark, d, "mix_targets"))
+    largest = mixing.sized_documents(documents).groupBy(F.col("source").alias("name")).agg(F.max("tokens").alias("_largest"))
+    reach = F.least("target_tokens", F.col("max_repeats") * F.col("own_tokens"))
+    met = F.abs(F.col("mixed_tokens") - reach) <= F.coalesce("_largest", F.lit(0))
+    return report.join(largest, "name", "left").select(
+        "source", F.round("target_share", 6).alias("target_share"), "own_tokens", "own_documents", F.round("target_tokens", 3).alias("target_tokens"), "short", met.alias("met")
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
     return report.where("short").select("source")
@@ -108,7 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_document_map, p2_found, p2_clean, p2_wrappers, p4_found, p4_log_entropy, p6_found, p6_dictionary, p6_text_grams,
-        p8_found, p8_containers, p9_found, p9_chosen, p9_shares,
+        p8_found, p8_containers, p8_placed, p9_found, p9_chosen, p9_shares, p9_targets,
         p10_found, p10_links, p10_spans, p10_report, p10_lines,
     )
 }

@@ -91,6 +91,14 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, 2, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) FROM t WHERE len(w) > 1)
       SELECT n, gram, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY n, gram""",
     "p8_found": f"SELECT doc_id FROM {_SIZED} WHERE tokens > 512",
+    "p8_placed": f"""SELECT doc_id, tokens AS n_tokens, ceil(tokens / 512)::BIGINT AS n_parts, tokens AS placed_tokens, false AS wrong FROM {_SIZED}""",
+    "p9_targets": rf"""
+      WITH m AS (SELECT source, CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight ELSE 0 END AS weight, max_repeats FROM mix_targets),
+      o AS (SELECT source AS name, sum(tokens)::BIGINT AS own, count(*) AS docs FROM {_SIZED} GROUP BY source),
+      t AS (SELECT *, weight / (SELECT sum(weight) FROM m) AS share, (SELECT sum(tokens) FROM {_SIZED}) AS total
+        FROM m LEFT JOIN o ON name = replace(lower(regexp_replace(m.source, '^\s+|\s+$', '', 'g')), '_', '-'))
+      SELECT source, round(share, 6) AS target_share, coalesce(own, 0) AS own_tokens, coalesce(docs, 0) AS own_documents,
+        round(share * total, 3)::DOUBLE AS target_tokens, share * total > max_repeats * coalesce(own, 0) AS short, true AS met FROM t""",
     "p9_found": rf"""
       WITH m AS (SELECT source, CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight ELSE 0 END AS weight, max_repeats FROM mix_targets),
       o AS (SELECT source AS name, sum(tokens) AS own FROM {_SIZED} GROUP BY source)
