@@ -98,7 +98,10 @@ def test_stop_words_that_cannot_be_read(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         C.read_stop_words(spark, str(tmp_path / "s"), most=2)
     place = EngineConfig(index_path=str(tmp_path))
-    spark.range(5).selectExpr("string(id) as word").write.parquet(f"{place.place}/stop_words")
+    with pytest.raises(ValueError, match="no index was found"):
+        index.Index.load(spark, place)
+    for table in (*index.Index.TABLES, index.STOP_WORDS):
+        spark.range(5).selectExpr("string(id) as word").write.parquet(f"{place.place}/{table}")
     monkeypatch.setattr(index, "MAX_STOP_WORDS", 4)
     with pytest.raises(ValueError, match="stop words"):
         index.Index.load(spark, place)
