@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,6 @@ SAMPLE = 40
 CELL, FAN = 64, 8
 #: One text in so many is held out to measure a wrapper that is inferred from the others.
 HELD = 5
-_LONGEST_GROUP = 8
-#: Longest folded stream that is aligned; texts beyond it don't shape the wrapper (alignment takes quadratic time) and are counted as too long.
-LONGEST = 2000
 _MARK = re.compile(
     _TAG.pattern + r"|(?m:^#{1,6}(?= ))|(?m:^[*+-]{1,3}(?= ))|(?m:^\d{1,3}\.(?= ))|(?m:^(?:```|~~~))|(?m:^={2,6}|={2,6}$)|(?m:^\|)|\|"
     r"|\*\*|__|'{2,5}|\[\[|\]\]|\{\{|\}\}|\{\||!\[|\]\(|\\begin\{\w+\*?\}|\\end\{\w+\*?\}|\\[a-zA-Z]+\*?(?=[{ ])|\\[\[\]]|`|\$|<!--|-->|&#?\w+;",
@@ -68,64 +67,139 @@ def stream(text: str) -> list[Atom]:
     return out
 
 
+def _numbers(seq: list[Atom]) -> np.ndarray:
+    number: dict[Atom, int] = {}
+    return np.array([number.setdefault(x, len(number)) for x in seq], dtype=np.int64)
+
+
+def _tandem(names: list[np.ndarray], size: int) -> list[tuple[int, int]]:
+    """(start, times) of bodies of ``size`` atoms that stand at least twice in a row, from the left.
+
+    ``names[t]`` numbers the stretches of 2**t atoms from each place on and is made when needed. A repeated body holds a whole
+    stretch of 2**t <= (size + 1) / 2 atoms from a multiple of 2**t on; if none of these recurs ``size`` places later, nothing is repeated.
+    """
+    t = ((size + 1) // 2).bit_length() - 1
+    while len(names) <= t:
+        short, half = names[-1], 1 << (len(names) - 1)
+        names.append(np.unique(short[:-half] * (short.max() + 1) + short[half:], return_inverse=True)[1])
+    named, step = names[t], 1 << t
+    if not (named[: len(named) - size : step] == named[size::step]).any():
+        return []
+    differ = np.flatnonzero(names[0][:-size] != names[0][size:])
+    begins, ends = np.append(0, differ + 1), np.append(differ, len(names[0]) - size)
+    enough = ends - begins >= size
+    out: list[tuple[int, int]] = []
+    free = 0
+    for begin, end in zip(begins[enough].tolist(), ends[enough].tolist()):
+        begin = max(begin, free)
+        if end - begin >= size:
+            out.append((begin, 1 + (end - begin) // size))
+            free = begin + out[-1][1] * size
+    return out
+
+
 def folded(seq: list[Atom]) -> list[Atom]:
-    """Tandem repeats, shortest first, replaced by one group; again until there are none."""
+    """Tandem repeats of any length, shortest first, replaced by one group; again until there are none."""
     changed = True
     while changed:
-        changed = False
-        for size in range(1, _LONGEST_GROUP + 1):
-            out: list[Atom] = []
-            i = 0
-            while i < len(seq):
-                body = tuple(seq[i : i + size])
-                n = 1
-                while tuple(seq[i + n * size : i + (n + 1) * size]) == body and len(body) == size:
-                    n += 1
-                if n > 1:
+        changed, size, names = False, 1, [_numbers(seq)]
+        while 2 * size <= len(seq):
+            if found := _tandem(names, size):
+                out: list[Atom] = []
+                at = 0
+                for start, times in found:
+                    body = tuple(seq[start : start + size])
+                    out += seq[at:start]
                     out.append(body[0] if size == 1 and isinstance(body[0], tuple) else body)
-                    i += n * size
-                    changed = True
-                else:
-                    out.append(seq[i])
-                    i += 1
-            seq = out
+                    at = start + times * size
+                seq = out + seq[at:]
+                changed, names = True, [_numbers(seq)]
+            size += 1
     return seq
 
 
 def grouped(seq: list[Atom], bodies: list[tuple]) -> list[Atom]:
     """Single occurrences of known groups as the group, the longest first."""
-    known = set(bodies)
-    sizes = sorted({len(b) for b in known}, reverse=True)
+    tree: dict = {}
+    for body in bodies:
+        node = tree
+        for a in body:
+            node = node.setdefault(a, {})
+        node[None] = body
     out: list[Atom] = []
     i = 0
     while i < len(seq):
-        body = next((b for b in (tuple(seq[i : i + n]) for n in sizes) if b in known), None)
+        body, node, k = None, tree, i
+        while node is not None:
+            body = node.get(None, body)
+            node = node.get(seq[k]) if k < len(seq) else None
+            k += 1
         out.append(seq[i] if body is None else body)
         i += 1 if body is None else len(body)
     return [a for k, a in enumerate(out) if not (k and isinstance(a, tuple) and out[k - 1] == a)]
 
 
+def _places(seq: list) -> Callable[[object], int]:
+    """Gives, for an atom, a number with one bit set for each of its places in the stream."""
+    own: dict[object, list[int]] = {}
+    for p, x in enumerate(seq):
+        own.setdefault(x, []).append(p)
+
+    @lru_cache(1024)
+    def bits(x: object) -> int:
+        held = np.zeros(len(seq), dtype=np.uint8)
+        held[own[x]] = 1
+        return int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
+
+    return lambda x: bits(x) if x in own else 0
+
+
 def united(one: Wrapper, two: Wrapper) -> Wrapper:
-    """The wrapper of all that either accepts, by their longest common subsequence. One bit is held per pair of atoms."""
+    """The wrapper of all that either accepts, by their longest common subsequence.
+
+    A row of the alignment is one number of ``len(two)`` bits, so that a row takes a few operations on long numbers. Every
+    ``isqrt(len(one))``-th row is held, and those between two of them are made again on the way back: no length is too long for memory.
+    """
     n, m = len(one), len(two)
     number: dict[Atom, int] = {}
-    a, b = (np.array([number.setdefault(x, len(number)) for x, _ in w], dtype=np.int64) for w in (one, two))
-    best = np.zeros(m + 1, dtype=np.int32)  # of the rest of one, from every atom of two on
-    down = [np.empty(0, dtype=np.uint8)] * n
+    a, b = ([number.setdefault(x, len(number)) for x, _ in w] for w in (one, two))
+    where, full, step = _places(b[::-1]), (1 << m) - 1, max(1, isqrt(n))
+
+    def above(row: int, i: int) -> int:
+        # Bit m - 1 - j is 0 where the common subsequence of one[i:] and two[j:] is longer than that of one[i:] and two[j + 1:].
+        u = row & where(a[i])
+        return ((row + u) | (row - u)) & full
+
+    def length(row: int, j: int) -> int:
+        return m - j - (row & ((1 << (m - j)) - 1)).bit_count()
+
+    kept = {n: full}
+    row = full
     for i in range(n - 1, -1, -1):
-        row = np.zeros(m + 1, dtype=np.int32)
-        row[:m] = np.maximum.accumulate(np.maximum(best[:m], best[1:] + (b == a[i]))[::-1])[::-1]
-        down[i] = np.packbits(best[:m] >= row[1:])
-        best = row
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
     out, i, j = [], 0, 0
+    rows: dict[int, int] = {}
+    here = below = -1  # lengths from (i, j) and from (i + 1, j) on; -1: not known for this i
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
             out.append((one[i][0], one[i][1] or two[j][1]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and down[i][j >> 3] >> (7 - (j & 7)) & 1):
+            i, j, below = i + 1, j + 1, -1
+            continue
+        if i < n and j < m and below < 0:
+            if i + 1 not in rows or i not in rows:
+                end = min(i - i % step + step, n)
+                rows = {end: kept[end]}
+                for k in range(end - 1, i - 1, -1):
+                    rows[k] = above(rows[k + 1], k)
+            here, below = length(rows[i], j), length(rows[i + 1], j)
+        if j == m or (i < n and here == below):
             out.append((one[i][0], True))
-            i += 1
+            i, below = i + 1, -1
         else:
+            if i < n:
+                below -= 1 - (rows[i + 1] >> (m - 1 - j) & 1)
             out.append((two[j][0], True))
             j += 1
     return out
@@ -138,19 +212,17 @@ def aligned(wrapper: Wrapper, seq: list[Atom]) -> Wrapper:
 
 def accepts(wrapper: Wrapper, seq: list[Atom]) -> bool:
     """Whether the whole stream matches."""
-    places: dict[Atom, list[int]] = {}
-    for p, atom in enumerate(seq):
-        places.setdefault(atom, []).append(p)
-    at = {0}
+    where = _places(seq)
+    at = 1
     for atom, optional in wrapper:
-        on = {p + 1 for p in places.get(atom, ()) if p in at}
+        on = (at & where(atom)) << 1
         at = at | on if optional else on
-    return len(seq) in at
+    return bool(at >> len(seq) & 1)
 
 
 def infer(texts: list[str]) -> tuple[list[tuple[Atom, bool]], list[tuple]]:
     """(wrapper, groups) of texts, in their order."""
-    seqs = [s for s in (folded(stream(t)) for t in texts) if len(s) <= LONGEST]
+    seqs = [folded(stream(t)) for t in texts]
     bodies = sorted({a for s in seqs for a in s if isinstance(a, tuple)}, key=lambda b: (-len(b), repr(b)))
     wrapper: list[tuple[Atom, bool]] | None = None
     for s in seqs:
@@ -270,16 +342,17 @@ def _text(atoms: pd.Series) -> pd.Series:
     return atoms.map(lambda a: None if a is None else one(_loaded(a)))
 
 
-def inferred(documents: DataFrame, host: str = "feed_id", cell: int = CELL, longest: int = LONGEST) -> DataFrame:
+def inferred(documents: DataFrame, host: str = "feed_id", cell: int = CELL, longest: int | None = None) -> DataFrame:
     """``(host, wrapper, texts, streams, too_long, held_out, matched)``: each host's wrapper from all its marked texts.
 
-    ``texts`` counts the marked texts, ``streams`` their distinct folded streams; ``too_long`` texts, whose stream has more than
-    ``longest`` atoms, don't shape the wrapper (null if there is no other). A second wrapper is inferred without one
+    ``texts`` counts the marked texts, ``streams`` their distinct folded streams. All of them shape the wrapper, unless ``longest`` is given:
+    then ``too_long`` texts, whose stream has more atoms, don't (null if there is no other). A second wrapper is inferred without one
     text in ``HELD``, chosen by hash of doc_id; ``matched`` of these ``held_out`` texts match it (0 where no text is left to infer from).
 
     Equal streams are counted before the shuffle. Distinct ones are aligned in cells of about ``cell``, then wrappers are
     united in a tree, ``FAN`` at a time. Null hosts and texts without sign of markup are left out.
     """
+    too_long = F.lit(False) if longest is None else F.col("size") > longest
     marked = documents.where(F.col(host).isNotNull() & F.col("text").rlike(SIGNS)).select(F.col(host).alias("host"), "doc_id", "text")
     held = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, F.lit(False))
     rows = marked.select("host", held.alias("held"), _streams("text").alias("_s")).select("host", "held", "_s.*")
@@ -288,10 +361,10 @@ def inferred(documents: DataFrame, host: str = "feed_id", cell: int = CELL, long
     ), "wrapper-streams")
     report = counted.groupBy("host").agg(
         F.sum("n").alias("texts"), F.count(F.lit(1)).alias("streams"),
-        F.sum(F.when(F.col("size") > longest, F.col("n")).otherwise(0)).alias("too_long"),
+        F.sum(F.when(too_long, F.col("n")).otherwise(0)).alias("too_long"),
     )
     both = F.explode(F.when(F.col("n") > F.col("held"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
-    shaping = counted.where(F.col("size") <= longest).withColumn("whole", both)
+    shaping = counted.where(~too_long).withColumn("whole", both)
     groups = shaping.select("host", "whole", F.explode("bodies").alias("body")).groupBy("host", "whole").agg(F.sort_array(F.collect_set("body")).alias("_all"))
     groups = written(groups, "wrapper-groups")
 

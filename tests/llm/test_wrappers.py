@@ -46,3 +46,56 @@ def test_inferred_from_all_texts(spark):
         assert 20 < got["one"].held_out < 70 and 0 < got["one"].matched <= got["one"].held_out
         assert all(f"&a{j};" in got["one"].wrapper for j in range(8))
     assert W.inferred(df.limit(0)).count() == 0
+
+
+def test_groups_of_any_length():
+    import random
+
+    row = "<tr><td>a</td><td><b>b</b></td><td><i>c</i></td></tr>"
+    assert [len(a) for a in W.folded(W.stream(row * 3))] == [15]
+    wrapper, bodies = W.infer([f"<table>{row * n}</table>" for n in (2, 4)])
+    assert len(wrapper) == 3 and all(W.accepts(wrapper, W.grouped(W.folded(W.stream(f"<table>{row * n}</table>")), bodies)) for n in (1, 3, 9))
+
+    def plain(seq):
+        before = None
+        while before != seq:
+            before, size = seq, 1
+            while 2 * size <= len(seq):
+                out, i = [], 0
+                while i < len(seq):
+                    n = 1
+                    while i + (n + 1) * size <= len(seq) and seq[i + n * size : i + (n + 1) * size] == seq[i : i + size]:
+                        n += 1
+                    body = tuple(seq[i : i + size])
+                    out += [seq[i]] if n == 1 else [body[0] if size == 1 and isinstance(body[0], tuple) else body]
+                    i += 1 if n == 1 else n * size
+                seq, size = out, size + 1
+        return seq
+
+    draw = random.Random(5)
+    for _ in range(300):
+        seq = [a for _ in range(draw.randint(0, 5)) for a in [draw.choice("abcd") for _ in range(draw.randint(1, 20))] * draw.randint(1, 3)]
+        assert W.folded(seq) == plain(seq)
+
+
+def test_united_by_a_longest_subsequence():
+    import random
+
+    draw = random.Random(6)
+    for size in (0, 1, 5, 40, 90):
+        for _ in range(10):
+            one, two = ([draw.choice("abcdef") for _ in range(draw.randint(size // 2, size))] for _ in range(2))
+            best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+            for i, x in enumerate(one):
+                for j, y in enumerate(two):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            got = W.united(*([(a, False) for a in seq] for seq in (one, two)))
+            assert len(one) + len(two) - len(got) == best[-1][-1] and W.accepts(got, one) and W.accepts(got, two)
+
+
+def test_texts_of_any_length_shape_the_wrapper(spark):
+    long = [f"&a{i};" for i in range(2500)]
+    rows = [(1, "".join(long), "one"), (2, "<p>x</p>", "two"), (3, "<p>x</p>" + "".join(long), "two"), (4, "<p>x</p>" + "".join(long[::2]), "two")]
+    got = {r.host: r for r in W.inferred(spark.createDataFrame(rows, "doc_id long, text string, feed_id string")).collect()}
+    assert (got["one"].wrapper, got["one"].texts, got["one"].too_long) == (" ".join(long), 1, 0)
+    assert (got["two"].wrapper, got["two"].texts, got["two"].too_long) == (" ".join(["<p> # </p>"] + [f"({a})?" for a in long]), 3, 0)
