@@ -182,6 +182,7 @@ _SIMILAR = """
   sim AS (SELECT a.word, (row_number() OVER (PARTITION BY a.word ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.word))::INTEGER AS rank, b.word AS sim,
       round(list_cosine_similarity(a.v, b.v), 6) AS cosine
     FROM wordvec a JOIN wordvec b ON a.word <> b.word WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10)"""
+_SIMILAR_ALL = _SIMILAR.replace("WHERE a.vec_id % 100 = 0 ", "")
 _EXPANDED = """
   SELECT query_id, 'semantic' AS kind, sim AS key, count(*) AS qtf FROM (
     SELECT doc_id AS query_id, key FROM qbags WHERE kind = 'term') t
@@ -267,7 +268,7 @@ ORACLE: dict[str, str] = {
     "candidates": f"{_BM25} SELECT query_id, doc_id FROM scored",
     "bm25_unstemmed": f"{_BM25} SELECT * FROM ranked",
     "bm25_intended": f"{_INTENDED}, {_ranked(_FIRST_ANY, _TERMS).replace(chain('q', _ASKED), chain('q', _DOCS + ' AND doc_id % 100 = 0'))} SELECT * FROM ranked",
-    "semantic_rank": f"{_INDEX}, {_SIMILAR}, {_ranked(_KIND_WEIGHT, f'{_TERMS} UNION ALL {_EXPANDED}', 0)} SELECT * FROM ranked",
+    "semantic_rank": f"{_INDEX}, {_SIMILAR_ALL}, {_ranked(_KIND_WEIGHT, f'{_TERMS} UNION ALL {_EXPANDED}', 0)} SELECT * FROM ranked",
     "topk_padded": f"""{_BM25}, asked AS (SELECT doc_id AS query_id FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT -1),
       places AS (SELECT query_id, unnest(generate_series(1, 50))::INTEGER AS rank FROM asked)
       SELECT query_id, rank, coalesce(doc_id, 0) AS doc_id FROM places LEFT JOIN ranked USING (query_id, rank)""",

@@ -153,3 +153,16 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
         n = static.where("term is not null and flushed_at is not null").count()
         assert spark.sql("select sum(n_rows) from live").first()[0] == n
+
+
+def test_semantic_rank_knows_the_similar_words_of_every_vector(spark, monkeypatch):
+    import os
+
+    from quillspan.plans import search as P
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(P.S, "search", lambda queries, index, synonyms: (index, synonyms))
+    index, synonyms = P.semantic_rank(spark, d)
+    assert synonyms.count() == min(spark.read.parquet(f"{d}/embeddings.parquet").count(), I.terms_dictionary(index.doc_terms).count())
