@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions.plan import pinned
+
 log = logging.getLogger("quillspan")
 DOC = r"(?s)<DOC>(.+?)</DOC>"
 DOCNO = r"(?s)<DOCNO>(.+?)</DOCNO>"
@@ -109,8 +111,8 @@ def parse_document_map_head(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def parse_inverted_file(lines: DataFrame, line: str = "value") -> DataFrame:
-    """``(term, doc_id, tf)`` of lines ``term(|doc,tf)+``."""
-    parts = F.split(line, r"\|")
-    rows = lines.select(parts[0].alias("term"), F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("p"))
+    """``(term, doc_id, tf)`` of lines ``term(|doc,tf)+``; a line is split once, not again for each of its documents."""
+    cut = lines.select(pinned(F.substring_index(line, "|", 1)).alias("term"), pinned(F.split(line, r"\|")).alias("_parts"))
+    rows = cut.select("term", F.explode(F.slice("_parts", F.lit(2), F.size("_parts"))).alias("p"))
     pair = F.split("p", ",")
     return rows.select("term", pair[0].cast("long").alias("doc_id"), pair[1].cast("long").alias("tf"))

@@ -16,6 +16,7 @@ def inverted_lines(postings: DataFrame, part: int = 100_000) -> DataFrame:
     ranked: range partitions by (term, doc_id) are written with their number, rows are counted in each and ranked inside, and
     the counts of the partitions before are added.
     """
+    postings = written(postings, "postings")  # read three times
     many = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part).select("term")  # at most rows / part terms
     many = written(many, "hot-terms")
     cold = postings.join(many, "term", "left_anti").select("term", F.lit(0).cast("long").alias("part"), "doc_id", "tf")
@@ -26,7 +27,7 @@ def inverted_lines(postings: DataFrame, part: int = 100_000) -> DataFrame:
     within = Window.partitionBy("term", "_at").orderBy("doc_id")
     ranked = hot.withColumn("_r", F.row_number().over(within) - 1).join(counts, ["term", "_at"])
     cut = ranked.select("term", F.floor((F.col("_before") + F.col("_r")) / part).cast("long").alias("part"), "doc_id", "tf")
-    pairs = F.array_sort(F.collect_list(F.struct("doc_id", "tf")))
+    pairs = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))  # compiled; array_sort calls a comparator
     lists = cold.unionByName(cut).groupBy("term", "part").agg(pairs.alias("p"))
     texts = F.transform("p", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(","), x["tf"].cast("string")))
     return lists.select("term", "part", F.concat_ws("|", F.col("term"), F.array_join(texts, "|")).alias("line"))

@@ -121,3 +121,23 @@ def test_config(tmp_path):
     EngineConfig(stem=True, index_path="/x").save(path)
     got = EngineConfig.load(path)
     assert got.stem and got.place == "/x/stemmed=true" and (got.k, got.b) == (0.4, 0.9)
+
+
+def test_inverted_lines_read_their_postings_once_and_sort_in_compiled_code(spark, monkeypatch):
+    from quillspan.sources import sinks
+
+    tags, keep = [], sinks.written
+    monkeypatch.setattr(sinks, "written", lambda df, tag: (tags.append(tag), keep(df, tag))[1])
+    lines = sinks.inverted_lines(spark.createDataFrame([("a", 10, 1), ("a", 9, 2), ("a", 2, 3), ("b", 1, 1)], "term string, doc_id long, tf long"), part=2)
+    assert tags[0] == "postings" and "lambdafunction((if" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.line for r in lines.collect()) == ["a|10,1", "a|2,3|9,2", "b|1,1"]
+
+
+def test_a_line_of_the_inverted_file_is_not_split_for_each_document(spark):
+    from quillspan.sources import corpus
+
+    lines = spark.createDataFrame([("a|1,2|3,4",), ("b|5,6",)], "line string")
+    got = corpus.parse_inverted_file(lines, "line")
+    assert "split(line" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 2), ("a", 3, 4), ("b", 5, 6)]
