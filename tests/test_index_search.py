@@ -166,3 +166,15 @@ def test_semantic_rank_knows_the_similar_words_of_every_vector(spark, monkeypatc
     monkeypatch.setattr(P.S, "search", lambda queries, index, synonyms: (index, synonyms))
     index, synonyms = P.semantic_rank(spark, d)
     assert synonyms.count() == min(spark.read.parquet(f"{d}/embeddings.parquet").count(), I.terms_dictionary(index.doc_terms).count())
+
+
+def test_a_loaded_index_has_its_postings_by_document(spark, tmp_path):
+    config = EngineConfig(index_path=str(tmp_path))
+    index = _index(spark, config)
+    index.save()
+    back = I.Index.load(spark, config)
+    assert sorted((r.doc_id, r.length, sorted(r.posted)) for r in back.by_document().collect()) == [
+        (1, 4, [("fish", 2), ("pond", 2)]), (2, 4, [("rock", 4)]), (3, 4, [("sand", 4)])]
+    assert "Exchange" not in back.by_document()._jdf.queryExecution().executedPlan().toString()
+    I.Index.reset(spark, config)
+    assert not (tmp_path / "stemmed=false" / "documents").exists()
